@@ -202,7 +202,7 @@ class Tables:
         """Business dates that occur as order dates, for every rule."""
         dates = self.raw("orders").select(F.to_date("o_orderdate").alias("scheduled_date")).distinct()
         # nations are numbered 0..24
-        return dates.select(F.explode(F.sequence(F.lit(0), F.lit(24))).cast("bigint").alias("rule_id"), "scheduled_date")
+        return dates.select(F.explode(F.expr("sequence(0L, 24L)")).alias("rule_id"), "scheduled_date")
 
     @property
     def logs(self) -> DataFrame:
