@@ -40,6 +40,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores before costly row-wise work. Large inputs bring
+    more splits than that and stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so that an iterative job can lose
     executors without recomputing every earlier round.
