@@ -63,17 +63,16 @@ def _day_at(year: Column, month: Column, day: Column, hour: Column, minute: Colu
     return _stamp(year, "-", two(month), "-", two(day), "T", two(hour), ":", two(minute), ":00+08:00")
 
 
+_PLAUSIBLE_DAY = "^20\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])$"
+
+
 def url_published_at(url: Column) -> tuple[Column, Column]:
     """(a publish day is present in the URL path, its time). The first pattern with a plausible day wins."""
     place = urls.path(url)
-    found, value = F.lit(False), F.lit(None).cast("timestamp")
-    for pattern in reversed(vocab.URL_DATES):
-        y, m, d = (F.regexp_extract(place, pattern, i) for i in (1, 2, 3))
-        fits = m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
-        fits = F.coalesce(fits, F.lit(False))
-        found = fits | found
-        value = F.when(fits, _day_at(y, m, d, F.lit("00"), F.lit("00"))).otherwise(value)
-    return found, value
+    digits = [F.regexp_replace(F.regexp_extract(place, pattern, 0), "\\D", "") for pattern in vocab.URL_DATES]
+    first = F.coalesce(*[F.when(F.regexp_like(d, F.lit(_PLAUSIBLE_DAY)), d) for d in digits])
+    day = F.regexp_replace(first, "^(....)(..)(..)$", "$1-$2-$3")
+    return first.isNotNull(), _stamp(day, "T00:00:00+08:00")
 
 
 def body_published_at(body: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.functions.similarity import dedup_key
 from annalist.session import prepare
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -110,6 +111,19 @@ class Tables:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("event_id"),
                                            F.col("l_partkey").alias("document_id")).distinct()
 
+    @property
+    def told_evidence(self) -> DataFrame:
+        """Evidence with ids and texts; the text names the part."""
+        return self.evidence.select(
+            (F.col("event_id") * 1000000 + F.col("document_id")).alias("evidence_id"), "event_id", "document_id",
+            F.concat(F.lit("part "), F.col("document_id") % 500).alias("evidence_text"))
+
+    @property
+    def keyed_events(self) -> DataFrame:
+        """Events with a stored key: that of the title."""
+        e = self.events
+        return e.withColumn("dedup_key", dedup_key(F.col("person_id"), F.col("event_type"), F.col("start_at"), F.col("title")))
+
     @property
     def documents(self) -> DataFrame:
         """Parts; the source is the supplier at rank p_partkey modulo the supplier count."""
@@ -266,6 +280,9 @@ CTES = {
                  "o_orderdate + INTERVAL 1 DAY created_at FROM orders LEFT JOIN customer ON o_custkey = c_custkey "
                  "LEFT JOIN nation ON c_nationkey = n_nationkey",
     "tl_evidence": "SELECT DISTINCT l_orderkey event_id, l_partkey document_id FROM lineitem",
+    "tl_told": "SELECT event_id * 1000000 + document_id evidence_id, event_id, document_id, 'part ' || document_id % 500 evidence_text FROM tl_evidence",
+    "tl_keyed": "SELECT *, sha256(person_id || '|' || event_type || '|' || coalesce(strftime(start_at, '%Y-%m-%d'), '') || '|' || "
+                "substr(lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')), 1, 80)) dedup_key FROM tl_events",
     "tl_documents": "SELECT p_partkey document_id, s_suppkey source_id, p_name title, p_name || ' by ' || p_brand content_text, "
                     "'https://example.org/p/' || p_partkey canonical_url, CASE WHEN p_partkey % 6 <> 0 THEN "
                     "TIMESTAMP '1998-01-01' + to_days((p_partkey % 1000)::INT) END published_at, "
