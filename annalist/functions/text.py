@@ -7,7 +7,7 @@ Positions are 0-based code-point offsets.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,12 @@ EDGE_SPACES = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
 SPANS = "array<struct<start:int,hit:string>>"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``c`` bound to a name: a long expression that is read several times is computed
+    once per row and stays small in the plan."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def squeeze(c: Column) -> Column:
     """Collapse every run of Unicode white space to one blank and trim."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
@@ -60,6 +66,10 @@ def spans(c: Column, pattern: str) -> Column:
 
     The texts between the matches come from ``split``; walking both arrays once gives the offsets.
     """
+    return let(c, lambda bound: _spans(bound, pattern))
+
+
+def _spans(c: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     gaps = F.split(c, pattern, -1)
     walked = F.aggregate(
@@ -84,6 +94,10 @@ def starts(c: Column, words: Sequence[str]) -> Column:
     are all found in one pass over the text.
     """
     pattern = "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
+    return let(c, lambda bound: _starts(bound, pattern))
+
+
+def _starts(c: Column, pattern: str) -> Column:
     pieces = F.split(c, "(?=" + pattern + ")", -1)
     walked = F.aggregate(
         pieces,
@@ -100,8 +114,10 @@ def starts(c: Column, words: Sequence[str]) -> Column:
 
 def core_text(c: Column, patterns: Sequence[str]) -> Column:
     """The text without its dateline, reporter credit and leading day; the whole text if nothing is left."""
-    whole = squeeze(c)
-    core = whole
-    for pattern in patterns:
-        core = F.regexp_replace(core, "(?U)" + pattern, "")
-    return F.when(core == "", whole).otherwise(core)
+    def core(whole: Column) -> Column:
+        rest = whole
+        for pattern in patterns:
+            rest = F.regexp_replace(rest, "(?U)" + pattern, "")
+        return F.coalesce(F.nullif(rest, F.lit("")), whole)
+
+    return let(squeeze(c), core)

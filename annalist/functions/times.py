@@ -77,7 +77,10 @@ def url_published_at(url: Column) -> tuple[Column, Column]:
 
 def body_published_at(body: Column) -> Column:
     """First full date of the opening 5000 characters that is not announced as a future one."""
-    window = tx.head(F.coalesce(body, F.lit("")), 5000)
+    return tx.let(tx.head(F.coalesce(body, F.lit("")), 5000), _first_past_date)
+
+
+def _first_past_date(window: Column) -> Column:
     value = F.lit(None).cast("timestamp")
     for pattern in reversed(vocab.BODY_DATES):
         full = "(?U)" + pattern
@@ -88,10 +91,13 @@ def body_published_at(body: Column) -> Column:
             before = F.substring(window, lead + 1, s["start"] - lead)
             return ~(tx.holds_any(after, vocab.FUTURE_AFTER) | tx.holds_any(before, vocab.FUTURE_BEFORE))
 
+        def dated(hit: Column, later: Column = value, full: str = full) -> Column:
+            part = [F.regexp_extract(hit, full, i) for i in range(1, 6)]
+            zero = [F.when(p == "", "0").otherwise(p) for p in part[3:]]
+            return F.when(hit.isNotNull(), _day_at(part[0], part[1], part[2], *zero)).otherwise(later)
+
         hit = F.get(F.filter(tx.spans(window, full), is_past), 0)["hit"]
-        part = [F.regexp_extract(hit, full, i) for i in range(1, 6)]
-        zero = [F.when(p == "", "0").otherwise(p) for p in part[3:]]
-        value = F.when(hit.isNotNull(), _day_at(part[0], part[1], part[2], *zero)).otherwise(value)
+        value = tx.let(hit, lambda h: dated(h))
     return value
 
 

@@ -67,25 +67,34 @@ def _clean_query(q: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Key form of a URL: lower-case scheme and authority, no fragment, no tracking parameters."""
-    raw = tx.strip(url)
+    return tx.let(tx.strip(url), lambda raw: tx.let(_without_gateway(raw), _canonical))
+
+
+def _without_gateway(raw: Column) -> Column:
     gateway = (host(raw) == vocab.GATEWAY_HOST) & F.startswith(path(raw), F.lit(vocab.GATEWAY_PATH))
-    raw = F.when(gateway, F.concat(F.lit(vocab.GATEWAY_TARGET),
-                                   F.regexp_replace(path(raw), "^" + vocab.GATEWAY_PATH, ""))).otherwise(raw)
+    return F.when(gateway, F.concat(F.lit(vocab.GATEWAY_TARGET),
+                                    F.regexp_replace(path(raw), "^" + vocab.GATEWAY_PATH, ""))).otherwise(raw)
+
+
+def _canonical(raw: Column) -> Column:
     site = F.lower(authority(raw))
-    cleaned = F.when(query(raw) == "", F.lit("")).otherwise(_clean_query(query(raw)))
     place = F.when(path(raw) == "", F.lit("/")).otherwise(path(raw))
+    kept = tx.let(_clean_query(query(raw)), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
     out = F.concat(
         F.when(scheme(raw) == "", F.lit("")).otherwise(F.concat(scheme(raw), F.lit(":"))),
         F.when(site == "", F.lit("")).otherwise(F.concat(F.lit("//"), site)),
         place,
-        F.when(cleaned == "", F.lit("")).otherwise(F.concat(F.lit("?"), cleaned)),
+        F.when(query(raw) == "", F.lit("")).otherwise(kept),
     )
     return F.when(raw == "", F.lit("")).otherwise(out)
 
 
 def resolve(href: Column, base: Column) -> Column:
     """A link seen on a page as an absolute URL (RFC 3986 reference resolution with dot segments)."""
-    href = tx.strip(href)
+    return tx.let(tx.strip(href), lambda bound: _resolve(bound, base))
+
+
+def _resolve(href: Column, base: Column) -> Column:
     origin = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), "[^/]*$", "")
     tail = F.regexp_extract(href, "(?s)^[^?#]*(.*)$", 1)
@@ -125,7 +134,10 @@ def allowed_hosts(root_host: Column) -> Column:
 
 def looks_like_navigation(url: Column, label: Column) -> Column:
     """Home, channel and list pages, judged by path and link text alone."""
-    place = F.lower(path(url))
+    return tx.let(F.lower(path(url)), lambda place: _navigation_path(place, label))
+
+
+def _navigation_path(place: Column, label: Column) -> Column:
     leaf = F.substring_index(F.regexp_replace(place, "/+$", ""), "/", -1)
     is_article = F.lit(False)
     for suffix in vocab.ARTICLE_SUFFIXES:

@@ -130,11 +130,11 @@ def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "
 
 
 def hit_rows(rows: DataFrame, keys: list[str], terms: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct (keys, term) pairs where the text contains the term (source_id, term), for the same source."""
-    names = terms.select("source_id", "term").distinct().withColumn("lname", F.lower("term")).select(
-        F.col("source_id").alias("term_source"), F.col("term").alias("name"), "lname",
-        F.substring("lname", 1, 2).alias("anchor"), F.lit(0).alias("person_id"), F.lit(0).alias("rank"),
-        F.lit(True).alias("live"), F.lit(False).alias("border"))
-    distinct_names = names.drop("term_source").distinct()
-    found = find_names(rows, keys, distinct_names, text).select(*keys, "name").distinct()
-    return found.join(names.select(F.col("term_source").alias("source_id"), "name").distinct(), ["source_id", "name"], "left_semi")
+    """Distinct (source_id, keys) whose text contains a term (source_id, term) of the row's own source."""
+    wanted = terms.select("source_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
+    names = wanted.select(F.col("term").alias("name")).distinct().select(
+        F.lit(0).alias("person_id"), F.lit(0).alias("rank"), F.lit(True).alias("live"), "name", F.col("name").alias("lname"),
+        F.substring("name", 1, 2).alias("anchor"), F.lit(False).alias("border"))
+    carried = ["source_id", *[k for k in keys if k != "source_id"]]
+    found = find_names(rows, carried, names, text).select(*carried, F.col("name").alias("term")).distinct()
+    return found.join(wanted, ["source_id", "term"], "left_semi").select(*carried).distinct()

@@ -91,7 +91,7 @@ def recheck_attribution(evidence: DataFrame, events: DataFrame, documents: DataF
     if source_id is not None:
         rows = rows.where(F.col("source_id") == source_id)
     free = rows.where(~F.col("human_locked"))
-    judged = at.judge_evidence(free, ["evidence_id"], scope, lexicon, force_target=True)
+    judged = cut_lineage(at.judge_evidence(free, ["evidence_id"], scope, lexicon, force_target=True))
     invalid = free.join(judged.where(~F.col("valid")).select("evidence_id", "reason"), "evidence_id").select(
         "evidence_id", "event_id", "document_id", "person_name", "source_name", "document_title", "reason",
         tx.head(F.col("evidence_text"), 300).alias("evidence_text"))
@@ -111,7 +111,8 @@ def cleanup_navigation(documents: DataFrame, sources: DataFrame, evidence: DataF
     """Stored web documents of discovery sources that fail the quality gate, with their evidence and orphans."""
     finding = sources.where(parser_config(F.col("parser_config"))["discovery_enabled"]).select("source_id", F.col("name").alias("source_name"))
     web = documents.where(F.startswith(F.lower(F.col("canonical_url")), F.lit("http"))).join(finding, "source_id")
-    bad = dc.reject(dc.with_rejection_reason(web)).select("document_id", "title", "canonical_url", "source_name", "reject_reason")
+    bad = cut_lineage(dc.reject(dc.with_rejection_reason(web)).select(
+        "document_id", "title", "canonical_url", "source_name", "reject_reason"))
     lost = evidence.join(bad, "document_id", "left_semi")
     gone = orphans(evidence, bad, "document_id").where("orphan").select("event_id")
     return Repair(_one_row(documents=bad, evidence=lost, events=gone), bad.orderBy("document_id").limit(SAMPLE),
@@ -130,7 +131,7 @@ def cleanup_family(documents: DataFrame, evidence: DataFrame, events: DataFrame,
     held = evidence.join(events.where("human_locked").select("event_id"), "event_id", "left_semi").select("document_id")
     locked = scanned.join(held, "document_id", "left_semi")
     free = scanned.join(held, "document_id", "left_anti").withColumn("original", tx.squeeze(F.col("content_text")))
-    free = dc.with_rejection_reason(dc.clean_articles(free, family=family), family=family)
+    free = cut_lineage(dc.with_rejection_reason(dc.clean_articles(free, family=family), family=family))
     rejected = free.where(F.col("reject_reason") != "")
     dirty = free.where((F.col("reject_reason") == "") & (F.col("content_text") != F.col("original")))
     rewritten = dirty.withColumn("content_hash", F.sha2(F.col("content_text"), 256)).withColumn(

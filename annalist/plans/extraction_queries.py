@@ -1 +1,194 @@
-"""Catalogue entries."""
+"""Catalogue entries for segmentation, attribution and extraction, on the given documents.
+
+The prose is not Chinese and holds no real names, so the lexicon and the persons are words that occur in it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from annalist import vocab
+from annalist.functions import similarity as sm
+from annalist.functions.times import seconds_text
+from annalist.operators import attribution as at
+from annalist.operators import extraction as ex
+from annalist.operators import persons as pe
+from annalist.operators import segments as sg
+from annalist.plans.catalogue import query
+from annalist.plans.standins import Tables
+from annalist.session import cut_lineage, widen
+
+LEX = vocab.Lexicon(
+    itinerary=("with", "from"), statement=("is ", "was"), other=("for", "by"), sentence_end="。！？!?.", clause_marks="\n。！？!?；;.",
+    pronoun_lead="^(?:Is|Es|On|The) ", dated_pronoun_lead="^(?:Is|Es|On|The) ", background=(),
+    place="(?:from|with) ([A-Za-z\\s]{2,30}?) (?:the|of|on)")
+NAMES = ((1, "the"), (2, "That"), (3, "this"), (4, "and"))
+_PEOPLE = ", ".join(f"({i}, '{n.lower()}')" for i, n in NAMES)
+
+# paragraphs, squeezed; sentences end after . ! or ? with an optional quote; short ones are dropped
+_SEGS = """pars AS (SELECT document_id, source_id, title, published_at, generate_subscripts(string_split_regex(content_text, '[\\r\\n]+'), 1) par,
+  trim(regexp_replace(unnest(string_split_regex(content_text, '[\\r\\n]+')), '\\s+', ' ', 'g')) p FROM tl_articles),
+sents AS (SELECT document_id, source_id, title, published_at, par, unnest(string_split(regexp_replace(p, '([。！？!?.][”"]?)', '\\1' || chr(1), 'g'), chr(1))) s,
+  generate_subscripts(string_split(regexp_replace(p, '([。！？!?.][”"]?)', '\\1' || chr(1), 'g'), chr(1)), 1) k FROM pars),
+segs AS (SELECT document_id, source_id, title, published_at, par, trim(s) txt, lower(trim(s)) low,
+  (row_number() OVER (PARTITION BY document_id ORDER BY par, k) - 1)::INT seg_idx FROM sents WHERE length(trim(s)) >= 6)"""
+_PREDS = _SEGS + """, words(event_type, w) AS (VALUES ('itinerary', 'with'), ('itinerary', 'from'), ('statement', 'is '), ('statement', 'was'), ('other', 'for'), ('other', 'by')),
+preds AS (SELECT document_id, seg_idx, event_type, at FROM (SELECT document_id, seg_idx, low, event_type, w, unnest(range(0, length(low))) at FROM segs JOIN words ON contains(low, w))
+  WHERE substr(low, at + 1, length(w)) = w
+  UNION SELECT document_id, seg_idx, 'statement', length(regexp_extract(txt, '^(.*?)[“"][^”"]{4,400}[”"]', 1)) FROM segs WHERE regexp_matches(txt, '[“"][^”"]{4,400}[”"]'))"""
+_OWN = _PREDS + f""", people(person_id, nm) AS (VALUES {_PEOPLE}),
+men AS (SELECT document_id, seg_idx, person_id, nm, pos FROM (SELECT document_id, seg_idx, low, person_id, nm, unnest(range(0, length(low))) pos FROM segs JOIN people ON contains(low, nm))
+  WHERE substr(low, pos + 1, length(nm)) = nm),
+lead_of AS (SELECT p.document_id, p.seg_idx, p.event_type, p.at, m.person_id, m.nm, max(m.pos) pos FROM preds p JOIN men m ON m.document_id = p.document_id
+  AND m.seg_idx = p.seg_idx AND m.pos < p.at GROUP BY ALL),
+scored AS (SELECT l.*, s.txt, coalesce(length(regexp_extract(substr(s.txt, 1, l.at), '(?s)^.*[。！？!?；;.]', 0)), 0) cs,
+  EXISTS (SELECT 1 FROM men r WHERE r.document_id = l.document_id AND r.seg_idx = l.seg_idx AND r.person_id <> l.person_id AND r.pos > l.pos AND r.pos < l.at) rival
+  FROM lead_of l JOIN segs s ON s.document_id = l.document_id AND s.seg_idx = l.seg_idx),
+good AS (SELECT document_id, seg_idx, person_id, event_type FROM scored WHERE pos >= cs AND at - pos - length(nm) <= 72 AND NOT rival GROUP BY ALL),
+cand AS (SELECT DISTINCT m.document_id, m.seg_idx, m.person_id, p.event_type FROM men m JOIN preds p ON p.document_id = m.document_id AND p.seg_idx = m.seg_idx),
+led AS (SELECT document_id, seg_idx FROM segs WHERE regexp_matches(txt, '^(Is|Es|On|The) ')),
+explicit AS (SELECT c.*, g.person_id IS NOT NULL AND NOT (c.event_type = 'statement' AND l.document_id IS NOT NULL) valid, l.document_id IS NOT NULL led FROM cand c
+  LEFT JOIN good g ON g.document_id = c.document_id AND g.seg_idx = c.seg_idx AND g.person_id = c.person_id AND g.event_type = c.event_type
+  LEFT JOIN led l ON l.document_id = c.document_id AND l.seg_idx = c.seg_idx),
+owner AS (SELECT document_id, seg_idx, min(person_id) owner FROM explicit WHERE valid GROUP BY 1, 2 HAVING count(DISTINCT person_id) = 1),
+prev AS (SELECT s.document_id, s.seg_idx, o.owner FROM segs s JOIN led l ON l.document_id = s.document_id AND l.seg_idx = s.seg_idx
+  JOIN segs b ON b.document_id = s.document_id AND b.seg_idx = s.seg_idx - 1 AND b.par = s.par JOIN owner o ON o.document_id = b.document_id AND o.seg_idx = b.seg_idx),
+typed AS (SELECT DISTINCT document_id, seg_idx, event_type FROM preds),
+everyone AS (SELECT t.document_id, t.seg_idx, q.person_id, t.event_type FROM typed t JOIN led l ON l.document_id = t.document_id AND l.seg_idx = t.seg_idx, people q
+  UNION SELECT document_id, seg_idx, person_id, event_type FROM cand),
+verdict AS (SELECT e.document_id, e.seg_idx, e.person_id, e.event_type, CASE WHEN l.document_id IS NOT NULL AND e.event_type = 'statement' THEN
+   CASE WHEN p.owner = e.person_id THEN 'pronoun_continuation' ELSE 'pronoun_ambiguous' END
+   WHEN x.person_id IS NULL THEN 'target_not_mentioned' WHEN x.valid THEN 'explicit_subject' ELSE 'target_not_subject' END reason FROM everyone e
+  LEFT JOIN led l ON l.document_id = e.document_id AND l.seg_idx = e.seg_idx LEFT JOIN prev p ON p.document_id = e.document_id AND p.seg_idx = e.seg_idx
+  LEFT JOIN explicit x ON x.document_id = e.document_id AND x.seg_idx = e.seg_idx AND x.person_id = e.person_id AND x.event_type = e.event_type)"""
+
+
+def people(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(i, n, True) for i, n in NAMES], "person_id long, name string, enabled boolean").withColumn(
+        "deleted_at", F.lit(None).cast("timestamp"))
+
+
+def scope(t: Tables) -> pe.Scope:
+    return pe.make_scope(people(t), None, None)
+
+
+def _judged(t: Tables) -> DataFrame:
+    rows = at.scored_segments(widen(t.articles), LEX).drop("prev_text", "next_text")
+    return cut_lineage(at.judged_rows(rows, at.KEYS, scope(t), LEX))
+
+
+@query("segments", f"WITH {_SEGS} SELECT document_id, seg_idx, txt \"text\" FROM segs")
+def segments(t: Tables) -> DataFrame:
+    return sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
+
+
+@query("predicates", f"WITH {_PREDS} SELECT document_id, seg_idx, event_type, at::INT \"position\" FROM preds WHERE document_id NOT IN (SELECT document_id FROM segs WHERE regexp_matches(txt, '[“\"]'))")
+def predicates(t: Tables) -> DataFrame:
+    """Documents with quotation marks are left out of both sides: their SQL would need every match."""
+    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
+    quoting = rows.where(F.regexp_like("text", F.lit("[“\"]"))).select("document_id").distinct()
+    return sg.predicates(rows.join(quoting, "document_id", "left_anti"), LEX)
+
+
+@query("name_mentions", f"WITH {_OWN} SELECT document_id, seg_idx, person_id::BIGINT person_id, pos::INT pos FROM men")
+def name_mentions(t: Tables) -> DataFrame:
+    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
+    sc = scope(t)
+    return pe.find_names(rows, ["document_id", "seg_idx"], sc.names, lengths=sc.lengths, anchors=sc.anchors).select(
+        "document_id", "seg_idx", "person_id", "pos")
+
+
+@query("attribution", f"WITH {_OWN} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type, reason FROM verdict WHERE reason IN ('explicit_subject', 'pronoun_continuation', 'target_not_subject')")
+def attribution(t: Tables) -> DataFrame:
+    out = at.attribute(_judged(t), scope(t)).where(F.col("reason").isin("explicit_subject", "pronoun_continuation", "target_not_subject"))
+    return out.select("document_id", "seg_idx", "person_id", "event_type", "reason")
+
+
+@query("attribution_stats", f"""WITH {_OWN} SELECT document_id, count(*) candidates, count(*) FILTER (WHERE reason IN ('explicit_subject', 'pronoun_continuation')) accepted,
+ count(*) FILTER (WHERE reason = 'pronoun_ambiguous') pronoun_ambiguous, count(*) FILTER (WHERE reason = 'target_not_mentioned') target_not_mentioned,
+ count(*) FILTER (WHERE reason = 'target_not_subject') target_not_subject FROM verdict GROUP BY ROLLUP (document_id)""")
+def attribution_stats(t: Tables) -> DataFrame:
+    return at.attribution_stats(at.attribute(_judged(t), scope(t))).select(
+        "document_id", "candidates", "accepted", "pronoun_ambiguous", "target_not_mentioned", "target_not_subject")
+
+
+@query("unique_owners", f"WITH {_OWN} SELECT document_id, seg_idx, owner::BIGINT person_id FROM owner")
+def unique_owners(t: Tables) -> DataFrame:
+    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "source_id", "text")
+    return at.unique_owner(rows, at.KEYS, scope(t), LEX)
+
+
+AS_OF = "2024-01-15 00:00:00"
+_EVENTS = _OWN + f""", ev AS (SELECT v.document_id, v.seg_idx, v.person_id, v.event_type, s.txt, s.title, s.published_at start_at,
+   CASE WHEN v.event_type = 'statement' THEN regexp_extract(s.txt, '[“"]([^”"]{{4,400}})[”"]', 1) ELSE '' END quote_text
+  FROM verdict v JOIN segs s ON s.document_id = v.document_id AND s.seg_idx = v.seg_idx WHERE reason IN ('explicit_subject', 'pronoun_continuation')),
+kept AS (SELECT * FROM ev WHERE event_type <> 'other' OR (document_id, person_id) NOT IN (SELECT (document_id, person_id) FROM ev WHERE event_type = 'statement'))"""
+
+
+def _events(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return ex.extract_events(t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
+
+
+@query("extracted_events", f"""WITH {_EVENTS} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type, substr(txt, 1, 500) summary, quote_text,
+  strftime(start_at, '%Y-%m-%d %H:%M:%S') start_at, CASE WHEN start_at IS NULL THEN 'unknown' ELSE 'day' END time_precision,
+  CASE WHEN start_at <= TIMESTAMP '{AS_OF}' THEN 'completed' ELSE 'expected' END confirmation_status,
+  floor((greatest(50, least(980, 550 + CASE WHEN start_at IS NULL THEN 0 ELSE 120 END + CASE WHEN quote_text <> '' THEN 80 ELSE 0 END + least(100, length(txt)))) + 5) / 10) / 100.0::DOUBLE confidence
+FROM kept""")
+def extracted_events(t: Tables) -> DataFrame:
+    return _events(t)[0].select("document_id", "seg_idx", "person_id", "event_type", "summary", "quote_text",
+                                seconds_text(F.col("start_at")).alias("start_at"), "time_precision", "confirmation_status", "confidence")
+
+
+@query("segment_places", f"""WITH {_SEGS}, near AS (SELECT *, lead(txt) OVER w nx, lag(txt) OVER w pv FROM segs WINDOW w AS (PARTITION BY document_id ORDER BY seg_idx)),
+found AS (SELECT document_id, seg_idx, CASE WHEN regexp_extract(txt, '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1) <> '' THEN regexp_extract(txt, '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1)
+  WHEN regexp_extract(coalesce(nx, ''), '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1) <> '' THEN regexp_extract(nx, '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1)
+  ELSE regexp_extract(coalesce(pv, ''), '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1) END p FROM near)
+SELECT document_id, seg_idx, trim(p) location_name FROM found WHERE p <> ''""")
+def segment_places(t: Tables) -> DataFrame:
+    return ex.with_location(sg.segments(widen(t.articles), LEX), LEX).where("location_name <> ''").select("document_id", "seg_idx", "location_name")
+
+
+@query("dedup_keys", """SELECT document_id, sha256('7|other|' || coalesce(strftime(published_at, '%Y-%m-%d'), '') || '|' ||
+ substr(lower(regexp_replace(content_text, '[^\\x{4e00}-\\x{9fff}A-Za-z0-9]', '', 'g')), 1, 80)) dedup_key FROM tl_articles""")
+def dedup_keys(t: Tables) -> DataFrame:
+    return t.articles.select("document_id", sm.dedup_key(F.lit(7), F.lit("other"), F.col("published_at"), F.col("content_text")).alias("dedup_key"))
+
+
+@query("source_scopes", """SELECT s.source_id, coalesce(l.n, (SELECT count(*) FROM tl_persons WHERE enabled AND deleted_at IS NULL)) scope_size, l.n IS NULL unlinked FROM tl_sources s
+LEFT JOIN (SELECT source_id, count(*) n FROM tl_source_persons sp JOIN tl_persons p ON p.person_id = sp.person_id WHERE p.enabled AND p.deleted_at IS NULL GROUP BY 1) l ON l.source_id = s.source_id""")
+def source_scopes(t: Tables) -> DataFrame:
+    return pe.make_scope(t.persons, t.aliases, t.source_persons).sizes(t.sources)
+
+
+@query("persons_for_source", """WITH live AS (SELECT p.person_id, p.name || coalesce((SELECT string_agg(',' || alias, '' ORDER BY alias_id) FROM tl_aliases a WHERE a.person_id = p.person_id AND a.enabled), '') nms
+ FROM tl_persons p WHERE enabled AND deleted_at IS NULL)
+SELECT sp.source_id, l.person_id, l.nms "names" FROM tl_source_persons sp JOIN live l ON l.person_id = sp.person_id UNION ALL SELECT NULL, person_id, nms FROM live""")
+def persons_for_source(t: Tables) -> DataFrame:
+    out = pe.persons_for_source(pe.make_scope(t.persons, t.aliases, t.source_persons))
+    return out.withColumn("names", F.array_join("names", ","))
+
+
+def _model_output(t: Tables) -> DataFrame:
+    """Model answers written from the documents: the first 40 characters as evidence, some wrong persons, some broken JSON."""
+    k = F.col("document_id")
+    evidence = F.substring(F.regexp_replace("content_text", "(?s)[\\r\\n].*$", ""), 1, 200)
+    good = F.to_json(F.struct(F.array(F.struct(
+        F.when(k % 5 == 1, F.lit(99)).otherwise(k % 4 + 1).alias("person_id"), F.lit("statement").alias("event_type"), F.lit("t").alias("title"),
+        F.when(k % 5 == 2, F.lit("not in the text at all")).otherwise(evidence).alias("evidence_text"))).alias("events")))
+    return t.articles.where(k % 7 != 0).select("document_id", F.when(k % 7 == 1, F.lit('{"x":1}')).otherwise(good).alias("json"))
+
+
+@query("model_event_checks", """SELECT CASE WHEN document_id % 5 = 1 THEN 'schema_or_person_invalid' ELSE 'evidence_not_in_document' END reason, count(*) n FROM tl_articles
+WHERE document_id % 7 > 1 AND document_id % 5 IN (1, 2) GROUP BY 1""")
+def model_event_checks(t: Tables) -> DataFrame:
+    _, verdicts = ex.validate_model_events(_model_output(t), t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
+    return verdicts.where(F.col("reason").isin("schema_or_person_invalid", "evidence_not_in_document")).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("extraction_providers", """SELECT document_id, CASE WHEN document_id % 7 > 1 THEN 'external' ELSE 'local-fallback' END provider,
+ CASE WHEN document_id % 7 > 1 THEN 'success' ELSE 'fallback' END status FROM tl_articles""")
+def extraction_providers(t: Tables) -> DataFrame:
+    _, verdicts, providers = ex.extract_with_fallback(_model_output(t), t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
+    return ex.model_runs(providers, verdicts, F.lit(AS_OF).cast("timestamp")).select("document_id", "provider", "status")
