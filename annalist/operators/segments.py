@@ -29,7 +29,7 @@ def unit_array(content: Column, lexicon: vocab.Lexicon = LEXICON) -> Column:
 
     def paragraph(p: Column, i: Column) -> Column:
         found = F.regexp_extract_all(tx.squeeze(p), F.lit(sentence), F.lit(0))
-        return F.flatten(F.transform(F.filter(F.transform(found, F.trim), lambda s: s != ""), lambda s: pieces(s, i)))
+        return F.flatten(F.transform(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != ""), lambda s: pieces(s, i)))
 
     units = F.flatten(F.transform(F.split(F.coalesce(content, F.lit("")), "[\\r\\n]+", -1), paragraph))
     return F.filter(units, lambda u: F.length(u["text"]) >= vocab.MIN_SEGMENT).cast(UNITS)

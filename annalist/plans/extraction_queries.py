@@ -34,18 +34,20 @@ sents AS (SELECT document_id, source_id, title, published_at, par, unnest(string
 segs AS (SELECT document_id, source_id, title, published_at, par, trim(s) txt, lower(trim(s)) low,
   (row_number() OVER (PARTITION BY document_id ORDER BY par, k) - 1)::INT seg_idx FROM sents WHERE length(trim(s)) >= 6)"""
 _PREDS = _SEGS + """, words(event_type, w) AS (VALUES ('itinerary', 'with'), ('itinerary', 'from'), ('statement', 'is '), ('statement', 'was'), ('other', 'for'), ('other', 'by')),
-preds AS (SELECT document_id, seg_idx, event_type, at FROM (SELECT document_id, seg_idx, low, event_type, w, unnest(range(0, length(low))) at FROM segs JOIN words ON contains(low, w))
-  WHERE substr(low, at + 1, length(w)) = w
-  UNION SELECT document_id, seg_idx, 'statement', length(regexp_extract(txt, '^(.*?)[“"][^”"]{4,400}[”"]', 1)) FROM segs WHERE regexp_matches(txt, '[“"][^”"]{4,400}[”"]'))"""
+preds AS (SELECT document_id, seg_idx, event_type, pp FROM (SELECT document_id, seg_idx, low, event_type, w, unnest(range(0, length(low))) pp FROM segs JOIN words ON contains(low, w))
+  WHERE substr(low, pp + 1, length(w)) = w
+  UNION SELECT document_id, seg_idx, 'statement', (list_sum([length(x) for x in g[1:k]]) + coalesce(list_sum([length(x) for x in h[1:k-1]]), 0))::BIGINT FROM (
+   SELECT *, unnest(range(1, len(h) + 1)) k FROM (SELECT document_id, seg_idx, string_split_regex(txt, '[“"][^”"]{4,400}[”"]') g,
+    regexp_extract_all(txt, '[“"][^”"]{4,400}[”"]') h FROM segs)))"""
 _OWN = _PREDS + f""", people(person_id, nm) AS (VALUES {_PEOPLE}),
 men AS (SELECT document_id, seg_idx, person_id, nm, pos FROM (SELECT document_id, seg_idx, low, person_id, nm, unnest(range(0, length(low))) pos FROM segs JOIN people ON contains(low, nm))
   WHERE substr(low, pos + 1, length(nm)) = nm),
-lead_of AS (SELECT p.document_id, p.seg_idx, p.event_type, p.at, m.person_id, m.nm, max(m.pos) pos FROM preds p JOIN men m ON m.document_id = p.document_id
-  AND m.seg_idx = p.seg_idx AND m.pos < p.at GROUP BY ALL),
-scored AS (SELECT l.*, s.txt, coalesce(length(regexp_extract(substr(s.txt, 1, l.at), '(?s)^.*[。！？!?；;.]', 0)), 0) cs,
-  EXISTS (SELECT 1 FROM men r WHERE r.document_id = l.document_id AND r.seg_idx = l.seg_idx AND r.person_id <> l.person_id AND r.pos > l.pos AND r.pos < l.at) rival
+lead_of AS (SELECT p.document_id, p.seg_idx, p.event_type, p.pp, m.person_id, m.nm, max(m.pos) pos FROM preds p JOIN men m ON m.document_id = p.document_id
+  AND m.seg_idx = p.seg_idx AND m.pos < p.pp GROUP BY ALL),
+scored AS (SELECT l.*, s.txt, coalesce(length(regexp_extract(substr(s.txt, 1, l.pp), '(?s)^.*[。！？!?；;.]', 0)), 0) cs,
+  EXISTS (SELECT 1 FROM men r WHERE r.document_id = l.document_id AND r.seg_idx = l.seg_idx AND r.person_id <> l.person_id AND r.pos > l.pos AND r.pos < l.pp) rival
   FROM lead_of l JOIN segs s ON s.document_id = l.document_id AND s.seg_idx = l.seg_idx),
-good AS (SELECT document_id, seg_idx, person_id, event_type FROM scored WHERE pos >= cs AND at - pos - length(nm) <= 72 AND NOT rival GROUP BY ALL),
+good AS (SELECT document_id, seg_idx, person_id, event_type FROM scored WHERE pos >= cs AND pp - pos - length(nm) <= 72 AND NOT rival GROUP BY ALL),
 cand AS (SELECT DISTINCT m.document_id, m.seg_idx, m.person_id, p.event_type FROM men m JOIN preds p ON p.document_id = m.document_id AND p.seg_idx = m.seg_idx),
 led AS (SELECT document_id, seg_idx FROM segs WHERE regexp_matches(txt, '^(Is|Es|On|The) ')),
 explicit AS (SELECT c.*, g.person_id IS NOT NULL AND NOT (c.event_type = 'statement' AND l.document_id IS NOT NULL) valid, l.document_id IS NOT NULL led FROM cand c
@@ -83,12 +85,9 @@ def segments(t: Tables) -> DataFrame:
     return sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
 
 
-@query("predicates", f"WITH {_PREDS} SELECT document_id, seg_idx, event_type, at::INT \"position\" FROM preds WHERE document_id NOT IN (SELECT document_id FROM segs WHERE regexp_matches(txt, '[“\"]'))")
+@query("predicates", f"WITH {_PREDS} SELECT document_id, seg_idx, event_type, pp::INT \"position\" FROM preds")
 def predicates(t: Tables) -> DataFrame:
-    """Documents with quotation marks are left out of both sides: their SQL would need every match."""
-    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
-    quoting = rows.where(F.regexp_like("text", F.lit("[“\"]"))).select("document_id").distinct()
-    return sg.predicates(rows.join(quoting, "document_id", "left_anti"), LEX)
+    return sg.predicates(sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text"), LEX)
 
 
 @query("name_mentions", f"WITH {_OWN} SELECT document_id, seg_idx, person_id::BIGINT person_id, pos::INT pos FROM men")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +46,24 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so that an iterative job can lose
-    executors without recomputing every earlier round.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder; on a cluster a missing setting is an error.
+    Only a local session may fall back to a temporary folder; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="annalist-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+            folder = tempfile.mkdtemp(prefix="annalist-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder, so that an iterative job can lose
+    executors without recomputing every earlier round."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
