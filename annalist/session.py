@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,7 +64,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder, so that an iterative job can lose
-    executors without recomputing every earlier round."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table below the shared checkpoint folder and read it back, so that an
+    iterative job can lose executors without recomputing every earlier round.
+
+    A table read back carries its true size and nothing of its plan. A checkpointed frame keeps the
+    constraints of its plan, which multiply from round to round.
+    """
+    spark = df.sparkSession
+    place = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
