@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import mixing, quality, sharding
+from annalist.llm import bpe, mixing, quality, sharding
+
+#: A public vocabulary: BPE with word ends, 49,408 ids.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +37,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"), 8)
 
 
+@query
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), VOCABULARY), VOCABULARY)
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
