@@ -58,7 +58,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        shards: int = 16, seed: int = 7, block_words: int = 4096, least_blocks: int = 1024, bucket_rows: int = 20_000,
+        shards: int = 16, seed: int = 7, block_words: int = 4096, least_blocks: int = 1024, bucket_rows: int = 2_000,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Plan a mix: how often, and into which shards, each row goes.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, mixing, quality, sharding
+from annalist.llm import bpe, mixing, quality, sharding, tokenfile
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, folder, "documents"), VOCABULARY)
+
+
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
