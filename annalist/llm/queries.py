@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, mixing, quality, sharding, tokenfile
+from annalist.llm import bpe, mixing, quality, sharding, tokenfile, warc
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,3 +51,8 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
