@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, jaccard, mixing, quality, sharding, substrings, tokenfile, warc
+from annalist.llm import bpe, embeddings, jaccard, mixing, quality, sharding, substrings, tokenfile, warc
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -69,3 +69,8 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.join(table(spark, folder, "embeddings"), 0.98)
