@@ -296,3 +296,20 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def opened(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array) and decoded (string) of encoded rows."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                rows = [np.frombuffer(raw, "<u4") for raw in part.column("ids").to_pylist()]
+                flat = np.concatenate(rows).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                     pa.array([decode(r, vocabulary) for r in rows], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")

@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, embeddings, jaccard, mixing, quality, sharding, substrings, tokenfile, warc
+from annalist.llm import bpe, embeddings, jaccard, mixing, pii, quality, sharding, substrings, tokenfile, warc
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: A cluster passes a secret key of its own.
+SURROGATE_KEY = b"annalist"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -74,3 +77,8 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.join(table(spark, folder, "embeddings"), 0.98)
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace(table(spark, folder, "documents").select("doc_id", "text"), SURROGATE_KEY)
