@@ -1,0 +1,243 @@
+"""Quality, surrogates, archives, sharding and mixing on small tables with every odd case."""
+
+import base64
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import zstandard
+
+from annalist.llm import mixing, pii, quality, sharding, warc
+from annalist.llm.common import bounded_sample, new_folder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    count = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if count[w] > 1 for j in range(3)}
+    dup = sum(x in lines[:k] for k, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def some_texts():
+    rnd = random.Random(2)
+    odd = "ab \n\t#*$\x0b\x1c é|<日"
+    texts = [None, "", " \n", "a a a a", "a b c a b c", "x y\nx y\n\nx y", "word " * 30_000]
+    return texts + ["".join(rnd.choice(odd) for _ in range(rnd.randrange(120))) for _ in range(300)]
+
+
+def test_statistics():
+    for text in some_texts():
+        assert quality.statistics(text)[:5] == plain_statistics(text), repr(text)
+
+
+def labelled(spark):
+    rnd = random.Random(1)
+    words = [f"word{k}" for k in range(400)]
+    rows, labels = [], []
+    for i in range(300):
+        poor = i % 4 == 0
+        text = " ".join(rnd.choice(words) + (rnd.choice(["###", "$$$"]) if poor and i % 8 == 0 else "") for _ in range(80))
+        rows.append((i, text if not poor or i % 8 == 0 else "\n".join([text[:150]] * 6)))
+        labels.append((i, 0 if poor else 1, 0))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int"), rows
+
+
+def test_quality(spark):
+    docs, labels, rows = labelled(spark)
+    forest = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality.judge(docs, forest).collect()}
+    for i, text in rows:
+        n, chars, symbols, dup, repeat = plain_statistics(text)
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and (r["kept"] is False or not r["base_failed"])
+        assert r["kept"] == (i % 4 != 0)
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2)], "doc_id long, text string, kept int")
+    assert [(r["doc_id"], r["n_words"], r["base_failed"], r["kept"]) for r in quality.judge(odd, forest).collect()] == [(None, 0, True, False), (1, 0, True, False), (1, 0, True, False)]
+    assert quality.judge(docs.limit(0), forest).count() == 0
+    assert quality.keep(docs, forest).count() == 225 and quality.keep(docs, forest).columns == docs.columns
+    assert quality.train(docs, labels.where("quality = 1")) is None and quality.train(docs, labels.limit(0)) is None
+    assert quality.judge(docs, None).where("kept").count() >= 225
+
+
+def test_trees_are_monotonic():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = (x[:, 0] + 0.3 * np.sin(9 * x[:, 0]) + 0.2 * x[:, 2] + 0.1 * rng.standard_normal(3000) > 0.7).astype(float)
+    forest = quality.fit(x, y, [1, 0, -1])
+    line = np.linspace(0, 1, 200)
+    for _ in range(30):
+        at = np.tile(rng.random(3), (200, 1))
+        at[:, 0] = line
+        assert (np.diff(forest.score(at)) >= -1e-12).all()
+        at = np.tile(rng.random(3), (200, 1))
+        at[:, 2] = line
+        assert (np.diff(forest.score(at)) <= 1e-12).all()
+    assert ((forest.score(x) > 0) == (y > 0)).mean() > 0.85
+
+
+KEY = b"test"
+TEXT = ("Mail Ann.Lee.05@mail3.Example.com or ANN.LEE.05@MAIL3.EXAMPLE.COM!! call +1 (017) 555-7713, 415-555-1212; card 4845168114407329 and "
+        "4845 1681 1440 7329 not 9807915762804490; ip 97.51.17.173 300.1.1.1; token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\". Mr Smith met "
+        "Emma Smith and Dr. James Böhm, Иван Петров, MARGARET SMITH. IBAN DE89 3704 0044 0532 0130 00 ssn 078-05-1120. Version 2.0.")
+
+
+def test_surrogates(spark):
+    data = [(1, TEXT), (2, TEXT), (None, None), (4, ""), (5, "nothing here 12"), (6, "x " * 20_000 + "bob@corp.de"), (6, "Mrs Smith 97.51.17.173 ann.lee.05@mail3.example.com")]
+    got = pii.replace(spark.createDataFrame(data, "doc_id long, text string"), KEY).collect()
+    assert len(got) == 7 and pii.replace(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r["text"])
+    assert by[1] == by[2] and by[None] == [None] and by[4] == [""] and by[5] == ["nothing here 12"]
+    new, old = by[1][0], TEXT
+    for gone in ("Lee", "LEE", "555-7713", "4407329", "1440 7329", "97.51", "b44e15", "Smith", "SMITH", "Emma", "James", "Böhm", "Иван", "Петров", "3704", "078-05"):
+        assert gone not in new
+    for stays in ("9807915762804490", "300.1.1.1", "Version 2.0.", "+1 (", "token = ", "IBAN DE", "Mr ", "Dr. "):
+        assert stays in new
+    kinds = lambda t: [(k, f) for _, _, k, f in pii.entities(t)]
+    a, b = kinds(old), kinds(new)
+    assert [k for k, _ in a] == [k for k, _ in b]
+    mapped = dict(zip(a, b))
+    assert all(mapped[x] == y for x, y in zip(a, b)) and len(set(mapped.values())) == len(mapped)  # coreference, distinctness
+    for (kind, form), (_, other) in mapped.items():
+        if kind == "given":
+            assert pii.PLACE[form][0] == pii.PLACE[other][0]
+        if kind == "name":
+            assert pii.script_of(form) == pii.script_of(other)
+    tail = next(t for t in by[6] if t.startswith("Mrs"))
+    name = re.search(r"Mr (\w+)", new)[1]
+    assert tail.split()[1] == name and tail.split()[2] in new and tail.split()[3] in new and name.upper() in new
+
+
+def test_no_two_entities_share_a_surrogate(spark):
+    # Nine of ten addresses of a small shape are in use: draws collide with each other and with real ones.
+    forms = [("ipv4", f"{a}.{b}.{c}.{d}") for a in range(4) for b in range(10) for c in range(10) for d in range(9)] + [("email", f"{x}@a.de") for x in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.assign(spark.createDataFrame(forms, "kind string, form string"), KEY).collect()
+    assert len(got) == len(forms) and len({(r["kind"], r["surrogate"]) for r in got}) == len(forms)
+    assert not {(r["kind"], r["surrogate"]) for r in got} & set(forms)
+
+
+def test_archives(spark):
+    rows = [(1, "u", "aa"), (2, "u", "aa"), (3, "u\r\nx", "bb"), (None, None, None), (None, "z", ""), (4, "q", ""), (4, "q", ""), (5, "é", "ü" * 50_000), (5, "é", "ü" * 50_000), (6, None, "ü" * 50_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    folder = new_folder(spark, "warc")
+    warc.write(df, folder)
+    got = warc.read(spark, folder, with_payload=True).collect()
+    largest = {"aa": 2, "bb": 3, "": 4, "ü" * 50_000: 6}
+    want = Counter()
+    seen = set()
+    for page, _, html in rows:
+        html = html or ""
+        first = page == largest[html] and html not in seen
+        seen |= {html} if first else set()
+        want[page, len(html.encode()), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode(), "response" if first else "revisit", None if first else largest[html], html.encode() if first else b""] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in got) == want
+    assert warc.round_trip(df.limit(0)).count() == 0
+    again = new_folder(spark, "warc")
+    warc.write(df, again, least_bytes=3)
+    assert Counter(r["record_type"] for r in warc.read(spark, again).collect()) == {"response": 8, "revisit": 2}
+
+
+def test_broken_archives():
+    good = warc.record(1, "u", b"body", 4, warc.base32_sha1(b"body"), None, "2024-01-01T00:00:00Z")
+    held = zstandard.ZstdCompressionDict(b"WARC/1.1 body " * 50)
+    pack = zstandard.ZstdCompressor(dict_data=held, write_checksum=True)
+    lead = struct.pack("<II", warc.DICTIONARY, len(held.as_bytes())) + held.as_bytes()
+    small = zstandard.ZstdCompressor().compress(held.as_bytes())
+    both = [lead, struct.pack("<II", warc.DICTIONARY, len(small)) + small]
+    for head in both:
+        data = head + pack.compress(good) + struct.pack("<II", warc.SKIP_FIRST + 3, 2) + b"zz" + pack.compress(good * 1)
+        assert list(warc.frames(memoryview(data))) == [good, good]
+        for cut in (len(head) + 5, len(data) - 3):
+            with pytest.raises(ValueError):
+                list(warc.frames(memoryview(data[:cut])))
+    stream = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    assert list(warc.frames(memoryview(stream.compress(good) + stream.flush()))) == [good]
+    with pytest.raises(ValueError):
+        list(warc.frames(memoryview(b"no archive at all")))
+    for wrong in (good.replace(b"Content-Length: 4", b"Content-Length: 5"), good[:-2], good.replace(b"body", b"bodx"), good.replace(b"WARC-Date", b"WARC-Dat"), b"x" + good):
+        with pytest.raises(ValueError):
+            warc.parse(wrong)
+
+
+def plain_jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int(float(b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(spark):
+    keys = [0, 1, 2, 10**12, -5, 2**63 - 1]
+    assert sharding.jump(np.array(keys).view(np.uint64), 8).tolist() == [plain_jump(k % 2**64, 8) for k in keys]
+    data = [(i, "é" * (i % 5), 1) for i in range(500)] + [(None, None, 2), (7, "again", 3), (7, "again", 4)]
+    got = sharding.assign_shards(spark.createDataFrame(data, "doc_id long, text string, shard int").repartition(5), 8).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in data)
+    slots = defaultdict(list)
+    for r in got:
+        assert r["shard"] == plain_jump(r["doc_id"] or 0, 8) and r["grown_shard"] in (r["shard"], 8) and r["law"] == "key"
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 8
+    names = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string")
+    assert sharding.assign_shards(names, 1).where("shard = 0").count() == 2
+    assert sharding.assign_shards(names.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign_shards(names, 0)
+
+
+def test_targets():
+    assert mixing.reshared_targets([100, 100, 100], [3, 1, 2], 450) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert mixing.reshared_targets([10, 1000], [3, 1], 1515) == pytest.approx([20, 1495])
+    assert mixing.reshared_targets([], [], 0) == [] and mixing.reshared_targets([0], [1], 0) == [0]
+
+
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_splitting_tree(shards):
+    quotas = np.array([1000, 0, 37, 512])
+    dealt = mixing.split_tree(quotas, shards, 3)
+    assert (dealt.sum(axis=0) == quotas).all() and np.ptp(dealt.sum(axis=1)) <= shards and (dealt >= 0).all()
+    assert (dealt == mixing.split_tree(quotas, shards, 3)).all()
+
+
+def test_mixing(spark):
+    rnd = random.Random(4)
+    data = [(i, " ".join(["w"] * rnd.randrange(0, 60)), rnd.choice(["a", "a", "b", "B", None]), 1) for i in range(2500)] + [(None, None, "é", 2), (3, "x y", "b", 3), (3, "x y", "b", 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, size int").repartition(4)
+    planned = mixing.mix(df, shards=5, bucket_rows=100)
+    got = planned.collect()
+    total, sizes = sum(len((t or "").split()) for _, t, *_ in data), defaultdict(int)
+    for _, t, s, _ in data:
+        sizes[s] += len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = dict(zip(order, mixing.reshared_targets([sizes[s] for s in order], [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5 * total)))
+    taken = defaultdict(int)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(targets[r["source"]]) and len(r["draws"]) <= 2
+        taken[r["source"]] += r["size"] * len(r["draws"])
+    assert len(got) == len(data) and all(abs(taken[s] - targets[s]) <= 60 + 0.002 * targets[s] for s in order)
+    rows = mixing.shuffled(planned).collect()
+    assert len(rows) == sum(len(r["draws"]) for r in got) and {r["shard"] for r in rows} <= set(range(5))
+    again = {(r["doc_id"], r["size"]): len(r["draws"]) for r in mixing.mix(df.repartition(2), shards=5, bucket_rows=100).collect() if r["doc_id"] != 3}
+    assert again == {(r["doc_id"], r["size"]): len(r["draws"]) for r in got if r["doc_id"] != 3}
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(5000)
+    first = [r["id"] for r in bounded_sample(rows, 50, "id").collect()]
+    assert len(first) == 50 and first == [r["id"] for r in bounded_sample(rows.repartition(7), 50, "id").collect()]
+    assert bounded_sample(rows.limit(20), 50, "id").count() == 20
