@@ -10,7 +10,6 @@ from annalist.functions import text as tx
 from annalist.operators import documents as dc
 from annalist.plans.catalogue import query
 from annalist.plans.standins import Tables
-from annalist.session import widen
 from annalist.sources import feeds as fd
 from annalist.sources import links as lk
 from annalist.sources import pages as pg
@@ -25,7 +24,7 @@ _NODES = """nodes AS (SELECT page_id, [y for y in [trim(regexp_replace(replace(r
 
 
 def _pages(t: Tables) -> DataFrame:
-    return widen(t.raw("pages")).select((F.col("page_id") % 20).alias("source_id"), "page_id", "url", "html")
+    return t.raw("pages").select((F.col("page_id") % 20).alias("source_id"), "page_id", "url", "html")
 
 
 @query("canonical_urls", f"SELECT page_id, {_CANON} canonical_url FROM pages")
@@ -47,7 +46,7 @@ def page_text(t: Tables) -> DataFrame:
 
 @query("page_text_native", f"WITH {_NODES} SELECT page_id, title, array_to_string(n, chr(10)) body FROM nodes")
 def page_text_native(t: Tables) -> DataFrame:
-    return _pages(t).select("page_id", pg.native_page_parts(F.col("html")).alias("p")).select("page_id", "p.title", "p.body")
+    return _pages(t).select("page_id", pg.page_parts(F.col("html")).alias("p")).select("page_id", "p.title", "p.body")
 
 
 @query("page_documents", f"""WITH {_NODES} SELECT (page_id % 20)::BIGINT source_id, {_CANON} canonical_url, title,
@@ -83,7 +82,7 @@ def feed_documents(t: Tables) -> DataFrame:
     body = F.concat(F.lit('<rss xmlns:x="u"><channel>'), F.array_join(F.transform(F.sequence(F.lit(0), k % 3), entry), ""), F.lit("</channel></rss>"))
     pages = t.raw("pages").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).drop("url")
     feeds = pages.select(k.alias("source_id"), F.concat(F.lit("https://f.example.org/"), k).alias("url"), body.alias("body"))
-    return fd.feed_documents(widen(feeds)).withColumn("published_at", times.seconds_text(F.col("published_at")))
+    return fd.feed_documents(fd.parsed_feeds(feeds)).withColumn("published_at", times.seconds_text(F.col("published_at")))
 
 
 _LINKS = """links AS (SELECT page_id, url page_url, idx - 1 link_idx, regexp_extract(h, 'href="([^"]*)"', 1) href, regexp_extract(h, '>([^<]*)<', 1) txt
@@ -119,9 +118,9 @@ def discover_candidates(t: Tables) -> DataFrame:
 
 
 @query("relevant_documents", """SELECT document_id FROM tl_articles WHERE
- (source_id % 2 = 0 AND contains(lower(title || ' ' || substr(content_text, 1, 4000)), 'theerly')) OR contains(lower(title || ' ' || substr(content_text, 1, 4000)), 'ithi')""")
+ (source_id % 2 = 0 AND contains(lower(title || ' ' || content_text), 'theerly')) OR contains(lower(title || ' ' || content_text), 'ithi')""")
 def relevant_documents(t: Tables) -> DataFrame:
-    docs = widen(t.articles)
+    docs = t.articles
     ids = t.articles.select("source_id").distinct()
     terms = ids.where("source_id % 2 = 0").select("source_id", F.lit("Theerly").alias("term")).unionByName(
         ids.select("source_id", F.lit("ithi").alias("term")))
@@ -163,7 +162,7 @@ _CLEAN = f"""cut AS (SELECT document_id, title, CASE WHEN instr(b, ' worthless '
 @query("clean_articles", f"WITH {_CLEAN} SELECT document_id, trim(content_text) content_text FROM cut")
 def clean_articles(t: Tables) -> DataFrame:
     """The documents cut at an end marker that occurs in them."""
-    return dc.clean_articles(widen(t.articles).withColumn("title", F.lit("")), ends=(" worthless ",)).select("document_id", "content_text")
+    return dc.clean_articles(t.articles.withColumn("title", F.lit("")), ends=(" worthless ",)).select("document_id", "content_text")
 
 
 @query("rejection_reasons", f"""SELECT document_id, CASE WHEN document_id % 10 = 0 THEN 'URL 或标题指向栏目/首页' WHEN length({_SQUEEZE.format('title')}) = 0 THEN '标题缺失或异常过长'
@@ -171,9 +170,9 @@ def clean_articles(t: Tables) -> DataFrame:
  WHEN length(b) < 12 THEN '正文过短'
  WHEN contains(tt, 'the')::INT + contains(tt, 'and')::INT + contains(tt, 'of')::INT + contains(tt, 'on')::INT >= 1
   AND contains(h, 'the')::INT + contains(h, 'and')::INT + contains(h, 'of')::INT + contains(h, 'on')::INT >= 4 AND published_at IS NULL THEN '页面缺少发布时间且正文呈导航聚合结构'
- ELSE '' END reject_reason FROM (SELECT *, {_SQUEEZE.format('title')} tt, {_SQUEEZE.format('content_text')} b, substr({_SQUEEZE.format('content_text')}, 1, 1200) h FROM tl_articles)""")
+ ELSE '' END reject_reason FROM (SELECT *, {_SQUEEZE.format('title')} tt, {_SQUEEZE.format('content_text')} b, {_SQUEEZE.format('content_text')} h FROM tl_articles)""")
 def rejection_reasons(t: Tables) -> DataFrame:
-    docs = widen(t.articles).withColumn("canonical_url", F.when(F.col("document_id") % 10 == 0, F.lit("https://example.org/")).otherwise(
+    docs = t.articles.withColumn("canonical_url", F.when(F.col("document_id") % 10 == 0, F.lit("https://example.org/")).otherwise(
         F.concat(F.col("canonical_url"), F.lit(".html"))))
     return dc.with_rejection_reason(docs, markers=("the", "and", "of", "on")).select("document_id", "reject_reason")
 

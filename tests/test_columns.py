@@ -92,9 +92,9 @@ def test_feed(spark):
     body = """<?xml version="1.0"?><rss version="2.0"><channel><item><title>公开活动</title><link>https://example.com/a?utm_medium=rss</link>
       <description><![CDATA[<p>黄仁勋出席大会。</p><script>bad()</script>]]></description><pubDate>Thu, 02 Jul 2026 08:00:00 GMT</pubDate></item></channel></rss>"""
     feeds = spark.createDataFrame([(1, "https://example.com/rss", body), (2, "u", "<bad")], "source_id long, url string, body string")
-    row, = fd.feed_documents(feeds).collect()
+    row, = fd.feed_documents(fd.parsed_feeds(feeds)).collect()
     assert row.canonical_url == "https://example.com/a" and row.content_text == "黄仁勋出席大会。" and row.published_at == dt.datetime(2026, 7, 2, 8)
-    assert [r.source_id for r in fd.feed_rejects(feeds).collect()] == [2]
+    assert [r.source_id for r in fd.feed_rejects(fd.parsed_feeds(feeds)).collect()] == [2]
 
 
 def test_digest_windows(spark):
