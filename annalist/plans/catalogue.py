@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.plans.standins import Tables, with_views
+from annalist.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,11 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,23 +43,37 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer splits than cores before costly row-wise work. Large inputs bring
-    more splits than that and stay as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that functions in it can run there from wherever
+    the driver was started. Spark's own file server hands the archive out."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="annalist-ship-"), "annalist_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the session names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a missing setting is an error.
+    Only a session in one process may fall back to a temporary folder; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="annalist-checkpoint-")
         context.setCheckpointDir(folder)
