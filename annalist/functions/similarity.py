@@ -20,10 +20,11 @@ def normal_core(c: Column) -> Column:
     return F.lower(F.regexp_replace(tx.core_text(c, KEY_PATTERNS), vocab.NOT_CORE, ""))
 
 
-def dedup_key(person_id: Column, event_type: Column, start_at: Column, text: Column) -> Column:
+def dedup_key(person_id: Column, event_type: Column, start_at: Column, text: Column,
+              limits: vocab.Limits = vocab.ALL) -> Column:
     day = F.coalesce(F.date_format(start_at, "yyyy-MM-dd"), F.lit(""))
     return F.sha2(F.concat_ws("|", person_id.cast("string"), event_type, day,
-                              tx.head(normal_core(text), vocab.KEY_CHARS)), 256)
+                              tx.head(normal_core(text), limits.key)), 256)
 
 
 def _common_length(a: str, places: dict[str, int], size: int) -> int:
@@ -55,14 +56,14 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def settled_similarity(a: Column, b: Column) -> Column:
+def settled_similarity(a: Column, b: Column, limits: vocab.Limits = vocab.ALL) -> Column:
     """The score where it needs no ratio: empty, contained, equal, or too different in length to
     reach the threshold. NULL means that the ratio decides.
 
     With n and m characters the ratio is at most 2*min(n,m)/(n+m), an exact bound.
     """
     n, m = F.length(a), F.length(b)
-    cut_n, cut_m = F.least(n, F.lit(vocab.SIMILAR_CHARS)), F.least(m, F.lit(vocab.SIMILAR_CHARS))
+    cut_n, cut_m = (c if limits.similar is None else F.least(c, F.lit(limits.similar)) for c in (n, m))
     bound = 2 * F.least(cut_n, cut_m) / (cut_n + cut_m)
     return (
         F.when((n == 0) | (m == 0), F.lit(0.0))
@@ -72,5 +73,5 @@ def settled_similarity(a: Column, b: Column) -> Column:
     )
 
 
-def ratio_of(a: Column, b: Column) -> Column:
-    return gestalt_ratio(tx.head(a, vocab.SIMILAR_CHARS), tx.head(b, vocab.SIMILAR_CHARS))
+def ratio_of(a: Column, b: Column, limits: vocab.Limits = vocab.ALL) -> Column:
+    return gestalt_ratio(tx.head(a, limits.similar), tx.head(b, limits.similar))

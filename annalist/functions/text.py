@@ -32,8 +32,9 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), EDGE_SPACES, "")
 
 
-def head(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def head(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all of them without an ``n``."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def from_pos(c: Column, start: Column) -> Column:

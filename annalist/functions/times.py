@@ -75,9 +75,9 @@ def url_published_at(url: Column) -> tuple[Column, Column]:
     return first.isNotNull(), _stamp(day, "T00:00:00+08:00")
 
 
-def body_published_at(body: Column) -> Column:
-    """First full date of the opening 5000 characters that is not announced as a future one."""
-    return tx.let(tx.head(F.coalesce(body, F.lit("")), 5000), _first_past_date)
+def body_published_at(body: Column, limits: vocab.Limits = vocab.ALL) -> Column:
+    """First full date of the text that is not announced as a future one."""
+    return tx.let(tx.head(F.coalesce(body, F.lit("")), limits.dated), _first_past_date)
 
 
 def _first_past_date(window: Column) -> Column:
@@ -101,10 +101,10 @@ def _first_past_date(window: Column) -> Column:
     return value
 
 
-def infer_published_at(url: Column, body: Column) -> Column:
+def infer_published_at(url: Column, body: Column, limits: vocab.Limits = vocab.ALL) -> Column:
     """Publish time from the URL path, else from the body."""
     found, value = url_published_at(F.coalesce(url, F.lit("")))
-    return F.when(found, value).otherwise(body_published_at(body))
+    return F.when(found, value).otherwise(body_published_at(body, limits))
 
 
 def local_text(ts: Column, zone: str = vocab.LOCAL_ZONE) -> Column:

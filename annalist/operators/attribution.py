@@ -76,7 +76,7 @@ def gather_mentions(rows: DataFrame, keys: list[str], scope: Scope, target: str
     """Per row, the in-scope mentions of all persons, in one array bounded by the text's length."""
     carried = [*keys, "source_id"] + ([target] if target else [])
     found = scope.restrict(find_names(rows.select(*carried, "text"), carried, scope.names,
-                                       lengths=scope.lengths, anchors=scope.anchors), target)
+                                       lengths=scope.lengths, slots=scope.slots), target)
     return found.groupBy(*keys).agg(F.collect_list(F.struct(
         "person_id", "rank", "name", "border", F.col("pos").cast("int").alias("pos"))).cast(MENTION).alias("found")).withColumn(
         "found", _without_overlaps(F.col("found")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist import vocab
+from annalist.functions import text as tx
+
 WAITING = ("pending", "retrying")
 ACTIVE = ("pending", "sending", "retrying")
 
@@ -13,10 +16,10 @@ def due_batches(batches: DataFrame, as_of: Column) -> DataFrame:
     return batches.where(F.col("status").isin(*WAITING) & (F.col("next_attempt_at") <= as_of)).orderBy("batch_id")
 
 
-def safe_error(c: Column) -> Column:
-    """One line without addresses, at most 500 characters."""
+def safe_error(c: Column, limits: vocab.Limits = vocab.ALL) -> Column:
+    """One line without addresses."""
     hidden = F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)[^@\\s]+@[^@\\s]+", "[email]")
-    return F.substring(F.regexp_replace(hidden, "[\\r\\n]", " "), 1, 500)
+    return tx.head(F.regexp_replace(hidden, "[\\r\\n]", " "), limits.error)
 
 
 def apply_outcomes(batches: DataFrame, outcomes: DataFrame, as_of: Column, max_attempts: int = 5,

@@ -177,10 +177,16 @@ def with_position(candidates: DataFrame) -> DataFrame:
         "position", F.col("offset") + F.row_number().over(inner)).drop("slot", "offset")
 
 
+def _size(n: int, least: int) -> int:
+    if int(n) < least:
+        raise ValueError(f"a size of at least {least} is needed")
+    return int(n)
+
+
 def preview(candidates: DataFrame, events: DataFrame, persons: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
     """(candidate count per run, the first rows of each run); nothing is written."""
     counts = candidates.groupBy("rule_id", "scheduled_date").agg(F.count(F.lit(1)).alias("candidate_count"))
-    sample = with_position(candidates).where(F.col("position") <= max(0, min(100, n)))
+    sample = with_position(candidates).where(F.col("position") <= _size(n, 0))
     shown = sample.join(events.select("event_id", "title"), "event_id").join(
         persons.select("person_id", F.col("name").alias("person_name")), "person_id").select(
         "rule_id", "scheduled_date", "position", "event_id", "person_name", "event_type", "title", "start_at")
@@ -215,7 +221,7 @@ def create_runs(windows: DataFrame, candidates: DataFrame, rules: DataFrame, led
 
 def batches(runs: DataFrame, recipients: DataFrame, max_events: int = 25) -> DataFrame:
     """Per recipient, as many parts as the run needs; one empty part if the rule wants empty mails."""
-    n = max(1, min(100, int(max_events)))
+    n = _size(max_events, 1)
     parts = F.ceil(F.col("candidate_count") / n)
     parts = F.when((parts == 0) & F.col("send_when_empty"), 1).otherwise(parts).cast("int")
     out = runs.withColumn("parts", parts).where("parts > 0").join(recipients, "rule_id").select(
@@ -228,7 +234,7 @@ def batches(runs: DataFrame, recipients: DataFrame, max_events: int = 25) -> Dat
 
 def items(runs: DataFrame, candidates: DataFrame, recipients: DataFrame, max_events: int = 25) -> DataFrame:
     """One item per (run, event, recipient), with the batch that carries it."""
-    n = max(1, min(100, int(max_events)))
+    n = _size(max_events, 1)
     placed = with_position(candidates).withColumn("part_number", F.ceil(F.col("position") / n).cast("int"))
     return (
         placed.join(runs.select("run_id", "rule_id", "scheduled_date"), ["rule_id", "scheduled_date"])

@@ -41,7 +41,7 @@ class Scope:
     linked: DataFrame
     live_count: int
     lengths: tuple[int, int]
-    anchors: list[str] | None
+    slots: list[int]
 
     @property
     def linked_sources(self) -> DataFrame:
@@ -73,7 +73,7 @@ def make_scope(persons: DataFrame, aliases: DataFrame | None, source_persons: Da
         linked = source_persons.select("source_id", "person_id").join(live.select("person_id"), "person_id", "left_semi").distinct() \
             .select("source_id", "person_id")
     names = name_table(persons, aliases)
-    return Scope(names, linked, live.count(), name_lengths(names), few_anchors(names))
+    return Scope(names, linked, live.count(), name_lengths(names), anchor_slots(names))
 
 
 def persons_for_source(scope: Scope) -> DataFrame:
@@ -92,20 +92,24 @@ def name_lengths(names: DataFrame) -> tuple[int, int]:
     return shortest or 2, longest or 2
 
 
-MAX_ANCHORS = 5000
+#: Anchors are known by the slot of their hash, so the driver holds this many numbers at most, however many names there are.
+SLOTS = 16_384
 
 
-def few_anchors(names: DataFrame) -> list[str] | None:
-    """The distinct anchors if they are few enough to travel with the plan, else None."""
-    found = names.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()
-    return [r[0] for r in found] if 0 < len(found) <= MAX_ANCHORS else None
+def slot_of(anchor: Column) -> Column:
+    return F.pmod(F.xxhash64(anchor), F.lit(SLOTS)).cast("int")
+
+
+def anchor_slots(names: DataFrame) -> list[int]:
+    """The slots of the names' anchors. Positions of a text whose slot is not among them need no row."""
+    return sorted(r[0] for r in names.select(slot_of(F.col("anchor"))).distinct().collect())
 
 
 def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "text",
-               lengths: tuple[int, int] | None = None, anchors: list[str] | None = None) -> DataFrame:
+               lengths: tuple[int, int] | None = None, slots: list[int] | None = None) -> DataFrame:
     """Every occurrence of every name: keys + person_id, rank, name, live, border, pos.
 
-    With ``anchors`` (see ``few_anchors``) other positions are dropped before they become rows.
+    Positions that no anchor's slot (see ``anchor_slots``) admits are dropped inside the row, before they become rows.
 
     Texts and names meet in an equi-join on two opening characters and are then compared in full, so
     the work grows with the length of the texts and not with texts x names. Only the few characters a
@@ -121,8 +125,8 @@ def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "
             F.struct(i.alias("pos"), g.alias("anchor")), F.struct(i.alias("pos"), F.substring(g, 1, 1).alias("anchor"))))))
     else:
         placed = F.transform(pairs, lambda g, i: F.struct(i.alias("pos"), g.alias("anchor")))
-    if anchors is not None:
-        placed = F.filter(placed, lambda g: g["anchor"].isin(anchors))
+    slots = anchor_slots(names) if slots is None else slots
+    placed = F.filter(placed, lambda g: slot_of(g["anchor"]).isin(slots) if slots else F.lit(False))
     spread = chars.select(*keys, "low", F.explode_outer(placed).alias("g")).where(F.col("g").isNotNull()).select(
         *keys, "g.pos", "g.anchor", F.substring(F.col("low"), F.col("g.pos") + 1, F.lit(longest)).alias("ahead"))
     return spread.join(names, "anchor").where(F.startswith("ahead", "lname")).select(
@@ -131,7 +135,7 @@ def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "
 
 def hit_rows(rows: DataFrame, keys: list[str], terms: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (source_id, keys) whose text contains a term (source_id, term) of the row's own source."""
-    wanted = terms.select("source_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
+    wanted = terms.select("source_id", F.lower(tx.strip(F.col("term"))).alias("term")).where(F.length("term") > 0).distinct()
     names = wanted.select(F.col("term").alias("name")).distinct().select(
         F.lit(0).alias("person_id"), F.lit(0).alias("rank"), F.lit(True).alias("live"), "name", F.col("name").alias("lname"),
         F.substring("name", 1, 2).alias("anchor"), F.lit(False).alias("border"))

@@ -77,7 +77,7 @@ def resolve_collisions(proposed: DataFrame, events: DataFrame) -> tuple[DataFram
 
 def recheck_attribution(evidence: DataFrame, events: DataFrame, documents: DataFrame, persons: DataFrame, sources: DataFrame,
                         scope: Scope, person_id: int | None = None, source_id: int | None = None,
-                        lexicon: vocab.Lexicon = LEXICON) -> Repair:
+                        lexicon: vocab.Lexicon = LEXICON, limits: vocab.Limits = vocab.ALL) -> Repair:
     """Stored evidence that no longer proves its event. The event's person is always in scope."""
     docs = documents.select("document_id", "source_id", F.col("title").alias("document_title"), "content_text")
     rows = (
@@ -94,7 +94,7 @@ def recheck_attribution(evidence: DataFrame, events: DataFrame, documents: DataF
     judged = cut_lineage(at.judge_evidence(free, ["evidence_id"], scope, lexicon, force_target=True))
     invalid = free.join(judged.where(~F.col("valid")).select("evidence_id", "reason"), "evidence_id").select(
         "evidence_id", "event_id", "document_id", "person_name", "source_name", "document_title", "reason",
-        tx.head(F.col("evidence_text"), 300).alias("evidence_text"))
+        tx.head(F.col("evidence_text"), limits.report).alias("evidence_text"))
     fate = orphans(evidence, invalid)
     report = _one_row(scanned_evidence=rows, scanned_events=rows.select("event_id").distinct(), accepted_evidence=judged.where("valid"),
                       invalid_evidence=invalid, kept_events=fate.where(~F.col("orphan")), orphan_events=fate.where("orphan"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist import vocab
+from annalist.functions import text as tx
 
 MAX_PAGE = 200
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -184,7 +185,7 @@ def document_events(evidence: DataFrame, events: DataFrame, persons: DataFrame)
 
 
 def search(q: str, events: DataFrame, persons: DataFrame, documents: DataFrame, sources: DataFrame,
-           size: int = 30) -> DataFrame:
+           size: int = 30, limits: vocab.Limits = vocab.ALL) -> DataFrame:
     """Matching events by id, then matching documents by id up to the budget, in one shape."""
     if not 1 <= len(q) <= 200 or not 1 <= size <= 100:
         raise ValueError("search text is 1 to 200 characters, budget 1 to 100")
@@ -198,7 +199,7 @@ def search(q: str, events: DataFrame, persons: DataFrame, documents: DataFrame,
         documents.where(matches(q, "title", "content_text"))
         .join(sources.select("source_id", F.col("name").alias("person_name")), "source_id")
         .select(F.lit(1).alias("part"), F.col("document_id").alias("id"), F.lit("document").alias("result_type"),
-                "title", F.substring("content_text", 1, 300).alias("summary"),
+                "title", tx.head(F.col("content_text"), limits.snippet).alias("summary"),
                 F.col("published_at").alias("start_at"), "person_name")
     )
     both = ev.orderBy("id").limit(size).unionByName(docs.orderBy("id").limit(size))
@@ -361,11 +362,11 @@ def audit_list(audit: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def audit_row(df: DataFrame, action: str, object_type: str, summary: Column, at: Column,
-              result: str = "success") -> DataFrame:
+              result: str = "success", limits: vocab.Limits = vocab.ALL) -> DataFrame:
     """Audit rows made from a job's report rows."""
     return df.select(F.lit(None).cast("bigint").alias("actor_id"), F.lit(action).alias("action"),
                      F.lit(object_type).alias("object_type"), F.lit("").alias("object_id"), F.lit(result).alias("result"),
-                     F.lit("").alias("ip_address"), F.substring(summary, 1, 1000).alias("change_summary"),
+                     F.lit("").alias("ip_address"), tx.head(summary, limits.audit).alias("change_summary"),
                      at.alias("created_at"))
 
 

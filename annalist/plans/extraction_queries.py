@@ -17,7 +17,7 @@ from annalist.operators import persons as pe
 from annalist.operators import segments as sg
 from annalist.plans.catalogue import query
 from annalist.plans.standins import Tables
-from annalist.session import cut_lineage, widen
+from annalist.session import cut_lineage
 
 LEX = vocab.Lexicon(
     itinerary=("with", "from"), statement=("is ", "was"), other=("for", "by"), sentence_end="。！？!?.", clause_marks="\n。！？!?；;.",
@@ -76,25 +76,25 @@ def scope(t: Tables) -> pe.Scope:
 
 
 def _judged(t: Tables) -> DataFrame:
-    rows = at.scored_segments(widen(t.articles), LEX).drop("prev_text", "next_text")
+    rows = at.scored_segments(t.articles, LEX).drop("prev_text", "next_text")
     return cut_lineage(at.judged_rows(rows, at.KEYS, scope(t), LEX))
 
 
 @query("segments", f"WITH {_SEGS} SELECT document_id, seg_idx, txt \"text\" FROM segs")
 def segments(t: Tables) -> DataFrame:
-    return sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
+    return sg.segments(t.articles, LEX).select("document_id", "seg_idx", "text")
 
 
 @query("predicates", f"WITH {_PREDS} SELECT document_id, seg_idx, event_type, pp::INT \"position\" FROM preds")
 def predicates(t: Tables) -> DataFrame:
-    return sg.predicates(sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text"), LEX)
+    return sg.predicates(sg.segments(t.articles, LEX).select("document_id", "seg_idx", "text"), LEX)
 
 
 @query("name_mentions", f"WITH {_OWN} SELECT document_id, seg_idx, person_id::BIGINT person_id, pos::INT pos FROM men")
 def name_mentions(t: Tables) -> DataFrame:
-    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "text")
+    rows = sg.segments(t.articles, LEX).select("document_id", "seg_idx", "text")
     sc = scope(t)
-    return pe.find_names(rows, ["document_id", "seg_idx"], sc.names, lengths=sc.lengths, anchors=sc.anchors).select(
+    return pe.find_names(rows, ["document_id", "seg_idx"], sc.names, lengths=sc.lengths, slots=sc.slots).select(
         "document_id", "seg_idx", "person_id", "pos")
 
 
@@ -104,6 +104,12 @@ def attribution(t: Tables) -> DataFrame:
     return out.select("document_id", "seg_idx", "person_id", "event_type", "reason")
 
 
+@query("attribution_reasons", f"WITH {_OWN} SELECT document_id, seg_idx, event_type, reason, count(*) n FROM verdict GROUP BY ALL")
+def attribution_reasons(t: Tables) -> DataFrame:
+    """All candidates by reason: those that a text does not name count, but are not listed."""
+    return at.attribute(_judged(t), scope(t)).groupBy("document_id", "seg_idx", "event_type", "reason").agg(F.sum("n").alias("n"))
+
+
 @query("attribution_stats", f"""WITH {_OWN} SELECT document_id, count(*) candidates, count(*) FILTER (WHERE reason IN ('explicit_subject', 'pronoun_continuation')) accepted,
  count(*) FILTER (WHERE reason = 'pronoun_ambiguous') pronoun_ambiguous, count(*) FILTER (WHERE reason = 'target_not_mentioned') target_not_mentioned,
  count(*) FILTER (WHERE reason = 'target_not_subject') target_not_subject FROM verdict GROUP BY ROLLUP (document_id)""")
@@ -114,7 +120,7 @@ def attribution_stats(t: Tables) -> DataFrame:
 
 @query("unique_owners", f"WITH {_OWN} SELECT document_id, seg_idx, owner::BIGINT person_id FROM owner")
 def unique_owners(t: Tables) -> DataFrame:
-    rows = sg.segments(widen(t.articles), LEX).select("document_id", "seg_idx", "source_id", "text")
+    rows = sg.segments(t.articles, LEX).select("document_id", "seg_idx", "source_id", "text")
     return at.unique_owner(rows, at.KEYS, scope(t), LEX)
 
 
@@ -129,7 +135,7 @@ def _events(t: Tables) -> tuple[DataFrame, DataFrame]:
     return ex.extract_events(t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
 
 
-@query("extracted_events", f"""WITH {_EVENTS} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type, substr(txt, 1, 500) summary, quote_text,
+@query("extracted_events", f"""WITH {_EVENTS} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type, txt summary, quote_text,
   strftime(start_at, '%Y-%m-%d %H:%M:%S') start_at, CASE WHEN start_at IS NULL THEN 'unknown' ELSE 'day' END time_precision,
   CASE WHEN start_at <= TIMESTAMP '{AS_OF}' THEN 'completed' ELSE 'expected' END confirmation_status,
   floor((greatest(50, least(980, 550 + CASE WHEN start_at IS NULL THEN 0 ELSE 120 END + CASE WHEN quote_text <> '' THEN 80 ELSE 0 END + least(100, length(txt)))) + 5) / 10) / 100.0::DOUBLE confidence
@@ -145,11 +151,11 @@ found AS (SELECT document_id, seg_idx, CASE WHEN regexp_extract(txt, '(?:from|wi
   ELSE regexp_extract(coalesce(pv, ''), '(?:from|with) ([A-Za-z\\s]{{2,30}}?) (?:the|of|on)', 1) END p FROM near)
 SELECT document_id, seg_idx, trim(p) location_name FROM found WHERE p <> ''""")
 def segment_places(t: Tables) -> DataFrame:
-    return ex.with_location(sg.segments(widen(t.articles), LEX), LEX).where("location_name <> ''").select("document_id", "seg_idx", "location_name")
+    return ex.with_location(sg.segments(t.articles, LEX), LEX).where("location_name <> ''").select("document_id", "seg_idx", "location_name")
 
 
 @query("dedup_keys", """SELECT document_id, sha256('7|other|' || coalesce(strftime(published_at, '%Y-%m-%d'), '') || '|' ||
- substr(lower(regexp_replace(content_text, '[^\\x{4e00}-\\x{9fff}A-Za-z0-9]', '', 'g')), 1, 80)) dedup_key FROM tl_articles""")
+ lower(regexp_replace(content_text, '[^\\x{4e00}-\\x{9fff}A-Za-z0-9]', '', 'g'))) dedup_key FROM tl_articles""")
 def dedup_keys(t: Tables) -> DataFrame:
     return t.articles.select("document_id", sm.dedup_key(F.lit(7), F.lit("other"), F.col("published_at"), F.col("content_text")).alias("dedup_key"))
 

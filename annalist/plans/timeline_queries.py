@@ -123,7 +123,7 @@ def document_detail(t: Tables) -> DataFrame:
   (SELECT 0 part, event_id id, 'event' result_type, title, summary, {_ts('start_at')} start_at, p.name person_name FROM tl_events e
    JOIN tl_persons p ON p.person_id = e.person_id WHERE review_status <> 'rejected' AND (contains(lower(title), '-high order 11')
    OR contains(lower(summary), '-high order 11')) ORDER BY event_id LIMIT 100)
-  UNION ALL (SELECT 1, document_id, 'document', title, substr(content_text, 1, 300), {_ts('published_at')}, s.name FROM tl_documents d
+  UNION ALL (SELECT 1, document_id, 'document', title, content_text, {_ts('published_at')}, s.name FROM tl_documents d
    JOIN tl_sources s ON s.source_id = d.source_id WHERE contains(lower(title), '-high order 11')
    OR contains(lower(content_text), '-high order 11') ORDER BY document_id LIMIT 100)) ORDER BY part, id LIMIT 100""")
 def cross_search(t: Tables) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from annalist import vocab
 from annalist.functions import text as tx
 from annalist.functions import urls
 from annalist.operators.persons import hit_rows
@@ -13,15 +14,27 @@ from annalist.operators.timeline import parser_config
 from annalist.session import cut_lineage
 
 
-def discovery_roots(sources: DataFrame, max_items: int) -> DataFrame:
-    """Root URL, allowed hosts and caps of every discovery source (source_id, entry_url, parser_config)."""
+def _known(n: int | None) -> list[Column]:
+    return [] if n is None else [F.lit(n)]
+
+
+def _least(*columns: Column) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
+
+
+def discovery_roots(sources: DataFrame, max_items: int | None = None, limits: vocab.Limits = vocab.ALL) -> DataFrame:
+    """Root URL, allowed hosts, pages and depth of every discovery source (source_id, entry_url, parser_config).
+
+    Pages and depth are those of the source's own configuration; ``limits`` may lower them further.
+    """
     cfg = F.col("cfg")
+    per_item = None if max_items is None or limits.pages_per_item is None else max(3, max_items * limits.pages_per_item)
     rows = sources.select("source_id", urls.canonical_url(F.col("entry_url")).alias("root_url"), parser_config(F.col("parser_config")).alias("cfg"))
-    given = F.filter(F.transform(cfg["discovery_allowed_hosts"], lambda h: F.lower(F.trim(F.coalesce(h, F.lit(""))))), lambda h: h != "")
+    given = F.filter(F.transform(cfg["discovery_allowed_hosts"], lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), "^[\\s.]+|[\\s.]+$", "")), lambda h: h != "")
     return rows.where(cfg["discovery_enabled"]).select(
         "source_id", "root_url", F.when(F.size(given) > 0, given).otherwise(urls.allowed_hosts(urls.host(F.col("root_url")))).alias("hosts"),
-        F.least(cfg["discovery_max_pages"], F.lit(max(3, max_items * 3)), F.lit(50)).alias("max_pages"),
-        F.least(F.greatest(cfg["discovery_max_depth"], F.lit(0)), F.lit(2)).alias("max_depth"))
+        _least(cfg["discovery_max_pages"], *_known(limits.pages), *_known(per_item)).alias("max_pages"),
+        _least(F.greatest(cfg["discovery_max_depth"], F.lit(0)), *_known(limits.depth)).alias("max_depth"))
 
 
 def same_site_links(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -35,14 +48,15 @@ def same_site_links(links: DataFrame, roots: DataFrame) -> DataFrame:
         "is_navigation", urls.looks_like_navigation(F.col("url"), F.col("text")))
 
 
-def discover_candidates(roots: DataFrame, links: DataFrame, terms: DataFrame, max_items: int = 50,
-                        search_links: DataFrame | None = None) -> DataFrame:
+def discover_candidates(roots: DataFrame, links: DataFrame, terms: DataFrame, max_items: int | None = None,
+                        search_links: DataFrame | None = None, limits: vocab.Limits = vocab.ALL) -> DataFrame:
     """Candidate articles (source_id, url, rank) by breadth-first walk over stored links.
 
-    A link whose text or URL holds a term (source_id, term) is a candidate unless it is navigation;
-    other navigation links are followed. One join per level (at most three). Pages are taken in the
-    order in which they were found, up to the page cap, and no further once 4 * max_items candidates
-    are known; the first max_items candidates are kept.
+    A link whose text or URL holds a term (source_id, term) is a candidate unless it is navigation; other navigation
+    links are followed, one join per level, until a level is empty or every source's depth is reached. Pages are taken in
+    the order in which they were found, up to the source's page count. With ``max_items``, the first so many
+    candidates of a source are kept, and with ``limits.candidates_per_item`` no page is read once so many times as many
+    are known. ``search_links`` (of the sources' search pages) add what the walk did not find, after it.
     """
     site = same_site_links(links, roots).join(roots.select("source_id", "root_url"), "source_id").where(
         F.col("url") != F.col("root_url")).drop("root_url")
@@ -50,39 +64,50 @@ def discover_candidates(roots: DataFrame, links: DataFrame, terms: DataFrame, ma
     told = site.withColumn("haystack", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), "url"))
     hits = hit_rows(told, key, terms, "haystack").select(*key).distinct().withColumn("hit", F.lit(True))
     site = cut_lineage(site.join(hits, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
-    level = roots.select("source_id", F.col("root_url").alias("page_url"), F.lit(0).alias("depth"),
-                         F.lit(0).alias("parent"), F.lit(0).alias("link_idx"), "max_depth", "max_pages")
-    pages, queued = None, level.select("source_id", "page_url")
-    for depth in range(3):
-        order = W.partitionBy("source_id").orderBy("parent", "link_idx")
-        # no page behind the page cap is ever read, so a level needs at most that many
-        level = cut_lineage(level.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= F.col("max_pages")))
-        pages = level if pages is None else pages.unionByName(level)
-        if depth == 2:
-            break
-        found = level.where(F.col("depth") < F.col("max_depth")).select("source_id", "page_url", "max_depth", "max_pages", F.col("nr").alias("parent")).join(
-            site.where(~F.col("hit") & F.col("is_navigation")), ["source_id", "page_url"])
-        first = found.groupBy("source_id", "url", "max_depth", "max_pages").agg(F.min(F.struct("parent", "link_idx")).alias("at"))
-        level = first.select("source_id", F.col("url").alias("page_url"), F.lit(depth + 1).alias("depth"), F.col("at.parent").alias("parent"),
-                             F.col("at.link_idx").alias("link_idx"), "max_depth", "max_pages").join(queued, ["source_id", "page_url"], "left_anti")
-        queued = queued.unionByName(level.select("source_id", "page_url"))
-    walk = W.partitionBy("source_id").orderBy("depth", "nr")
-    pages = pages.withColumn("place", F.row_number().over(walk)).where(F.col("place") <= F.col("max_pages"))
+    pages = walked_pages(roots, site)
     seen = site.where(F.col("hit") & ~F.col("is_navigation")).join(pages.select("source_id", "page_url", "place"), ["source_id", "page_url"])
-    firsts = seen.groupBy("source_id", "url").agg(F.min(F.struct("place", "link_idx")).alias("at"))
-    per_page = firsts.groupBy("source_id", F.col("at.place").alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("source_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    read = pages.select("source_id", "place").join(per_page, ["source_id", "place"], "left").withColumn(
-        "known", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("known") < max_items * 4).select("source_id", "place")
-    found = firsts.withColumn("place", F.col("at.place")).join(read, ["source_id", "place"], "left_semi").select(
-        "source_id", "url", F.lit(0).alias("part"), "at")
+    found = seen.groupBy("source_id", "url").agg(F.min(F.struct("place", "link_idx")).alias("at")).withColumn("part", F.lit(0))
+    if max_items is not None and limits.candidates_per_item is not None:
+        per_page = found.groupBy("source_id", F.col("at.place").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+        before = W.partitionBy("source_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+        read = pages.select("source_id", "place").join(per_page, ["source_id", "place"], "left").withColumn(
+            "known", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("known") < max_items * limits.candidates_per_item)
+        found = found.withColumn("place", F.col("at.place")).join(read.select("source_id", "place"), ["source_id", "place"], "left_semi").drop("place")
+    found = found.select("source_id", "url", "part", "at")
     if search_links is not None:
         extra = same_site_links(search_links, roots).where(~F.col("is_navigation")).groupBy("source_id", "url").agg(
             F.min("link_idx").alias("i")).join(found.select("source_id", "url"), ["source_id", "url"], "left_anti")
         found = found.unionByName(extra.select("source_id", "url", F.lit(1).alias("part"),
                                                F.struct(F.lit(0).alias("place"), F.col("i").alias("link_idx")).alias("at")))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy("part", "at")))
-    return ranked.where(F.col("rank") <= max_items).select("source_id", "url", "rank")
+    return (ranked if max_items is None else ranked.where(F.col("rank") <= max_items)).select("source_id", "url", "rank")
+
+
+def walked_pages(roots: DataFrame, site: DataFrame) -> DataFrame:
+    """The pages that a walk reads (source_id, page_url, depth, place): level by level, in the order of discovery.
+
+    ``site`` are same-site links with ``hit`` and ``is_navigation``.
+    """
+    order = W.partitionBy("source_id").orderBy("parent", "link_idx")
+    follow = site.where(~F.col("hit") & F.col("is_navigation"))
+    level = roots.select("source_id", F.col("root_url").alias("page_url"), F.lit(0).alias("depth"),
+                         F.lit(0).alias("parent"), F.lit(0).alias("link_idx"), "max_depth", "max_pages")
+    pages, depth = None, 0
+    while True:
+        # no page behind the page count is ever read, so a level needs at most that many
+        level = cut_lineage(level.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= F.col("max_pages")))
+        pages = level if pages is None else pages.unionByName(level)
+        depth += 1
+        deeper = level.where(F.col("depth") < F.col("max_depth"))
+        if deeper.isEmpty():
+            break
+        found = deeper.select("source_id", "page_url", "max_depth", "max_pages", F.col("nr").alias("parent")).join(follow, ["source_id", "page_url"])
+        first = found.groupBy("source_id", "url", "max_depth", "max_pages").agg(F.min(F.struct("parent", "link_idx")).alias("at"))
+        level = first.select("source_id", F.col("url").alias("page_url"), F.lit(depth).alias("depth"), F.col("at.parent").alias("parent"),
+                             F.col("at.link_idx").alias("link_idx"), "max_depth", "max_pages").join(
+            pages.select("source_id", "page_url"), ["source_id", "page_url"], "left_anti")
+    walk = W.partitionBy("source_id").orderBy("depth", "nr")
+    return pages.withColumn("place", F.row_number().over(walk)).where(F.col("place") <= F.col("max_pages"))
 
 
 def search_term(terms: DataFrame) -> DataFrame:
@@ -92,9 +117,9 @@ def search_term(terms: DataFrame) -> DataFrame:
         "source_id", F.col("t.term").alias("term"))
 
 
-def relevant_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Documents whose title or first 4000 characters hold a term of their source."""
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), tx.head(F.col("content_text"), 4000))
+def relevant_documents(docs: DataFrame, terms: DataFrame, limits: vocab.Limits = vocab.ALL) -> DataFrame:
+    """Documents whose title or text holds a term of their source."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), tx.head(F.col("content_text"), limits.relevant))
     hits = hit_rows(docs.withColumn("haystack", text), ["document_id"], terms, "haystack")
     return docs.join(hits.select("document_id").distinct(), "document_id", "left_semi")
 

@@ -53,8 +53,6 @@ DATELINE = "^(?:新华社|中新社|本报|本刊)[^。]{0,80}?(?:电|讯)\\s*"
 REPORTER = "^[（(]记者[^）)]{1,80}[）)]\\s*"
 LEADING_DAY = "^\\d{1,2}月\\d{1,2}日[，,]?\\s*"
 NOT_CORE = "[^\\u4e00-\\u9fffA-Za-z0-9]"
-KEY_CHARS = 80
-SIMILAR_CHARS = 240
 CONTAINED_CHARS = 24
 SIMILAR_ENOUGH = 0.72
 
@@ -139,6 +137,45 @@ ITEM_SKIPPED = "事件已删除或被驳回"
 LOCAL_ZONE = "Asia/Shanghai"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Characters that an operator looks at or keeps, and pages it walks. None: all of them, which is the default
+    everywhere. A limit changes results: what lies beyond it is neither compared nor stored."""
+
+    key: int | None = None
+    similar: int | None = None
+    dated: int | None = None
+    relevant: int | None = None
+    framed: int | None = None
+    aggregated: int | None = None
+    title: int | None = None
+    author: int | None = None
+    language: int | None = None
+    summary: int | None = None
+    evidence: int | None = None
+    stored_summary: int | None = None
+    stored_evidence: int | None = None
+    place: int | None = None
+    quote: int | None = None
+    zone: int | None = None
+    report: int | None = None
+    snippet: int | None = None
+    error: int | None = None
+    audit: int | None = None
+    pages: int | None = None
+    depth: int | None = None
+    pages_per_item: int | None = None
+    candidates_per_item: int | None = None
+    batch_events: int | None = None
+
+
+ALL = Limits()
+# fixed values: the limits of a small installation, for those who want its results
+SMALL = Limits(key=80, similar=240, dated=5000, relevant=4000, framed=800, aggregated=1200, title=500, author=200, language=30,
+               summary=500, evidence=1000, stored_summary=2000, stored_evidence=2000, place=300, quote=2000, zone=50, report=300,
+               snippet=300, error=500, audit=1000, pages=50, depth=2, pages_per_item=3, candidates_per_item=4, batch_events=100)
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """The language-dependent part of event extraction."""
@@ -159,6 +196,7 @@ class Lexicon:
         return getattr(self, event_type)
 
 
+# --- fixed values: one site family's domain, page frame and channels ----------------------------
 @dataclass(frozen=True)
 class SiteFamily:
     """One domain family whose pages need extra cleaning and extra quality tests."""
