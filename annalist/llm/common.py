@@ -4,39 +4,23 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import annalist
-from annalist.session import checkpoint_folder
+from annalist.session import checkpoint_folder, ship
 
 #: A word of a text, for Python, for Java and for DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
 words_of = re.compile(WORD).findall
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application. Spark's own file server hands it out."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = os.path.dirname(os.path.abspath(annalist.__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="annalist-ship-"), "annalist_code.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for folder, _, files in os.walk(top):
-                for name in files:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        out.write(full, os.path.relpath(full, os.path.dirname(top)))
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(app)
+    """See that the executors have this package."""
+    ship(spark)
     return spark
 
 
@@ -73,6 +57,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hash of ``keys``: the same rows on every run. Of a large table only
+    rows below a cut-off of the hash, about four times as many as asked for, are put in order."""
+    total = df.count()
+    place = F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(1 << 40))
+    if total > 8 * most:
+        df = df.where(place < int(4 * most / total * (1 << 40)))
+    return df.orderBy(place, *keys).limit(most)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary Arrow array, and the n + 1 offsets of its rows; null rows have no bytes."""
     if isinstance(column, pa.ChunkedArray):

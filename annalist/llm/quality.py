@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import pick, prepare, words_of
+from annalist.llm.common import bounded_sample, pick, prepare, words_of
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col:
     """
     prepare(docs.sparkSession)
     marked = pick(labels, _id=id_col, _quality="quality").where("_id IS NOT NULL AND _quality IS NOT NULL")
-    sample = marked.orderBy(F.xxhash64("_id", F.lit(11)), "_id", "_quality").limit(sample_rows)
+    sample = bounded_sample(marked, sample_rows, "_id", "_quality")
     known = pick(docs, _doc=id_col, _text=text_col).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
