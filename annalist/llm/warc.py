@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.common import new_folder, pick, prepare
+from annalist.llm.common import bounded_sample, new_folder, pick, prepare
 
 #: Fixed values of the formats: skippable frames (the dictionary's, the first and last of the range), data frames.
 DICTIONARY, SKIP_FIRST, SKIP_LAST, FRAME = 0x184D2A5D, 0x184D2A50, 0x184D2A5F, 0xFD2FB528
@@ -145,7 +145,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
     spark = prepare(pages.sparkSession)
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("page_id", F.col("page_id").cast("long"))
     rows = rows.withColumn("html", F.coalesce(F.col("html").cast("binary"), F.lit(b"")))
-    sample = rows.orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").select(F.substring("html", 1, sample_bytes).alias("s")).limit(dictionary_pages)
+    sample = bounded_sample(rows.select("page_id", F.substring("html", 1, sample_bytes).alias("s")), dictionary_pages, "page_id")
     dictionary = train_dictionary([bytes(r["s"]) for r in sample.collect() if r["s"]], dictionary_bytes)
 
     named = rows.withColumn("digest", F.sha1("html")).withColumn("length", F.length("html").cast("long"))
@@ -157,10 +157,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
     decided = narrow.withColumn("_copy", F.row_number().over(repeats)).join(groups.withColumn("_grouped", F.lit(True)), ["digest", "length"], "left")
     first = F.col("_grouped").isNull() | (F.col("page_id").eqNullSafe(F.col("_largest")) & (F.col("_copy") == 1))
     decided = decided.withColumn("_first", first)
-    # A payload is looked up by its row's id and digest; of rows repeated in both, by number.
-    numbered = Window.partitionBy("_p", "_d").orderBy(F.lit(0))
-    bodies = named.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "html").withColumn("_c", F.row_number().over(numbered))
-    full = decided.where("_first").join(bodies, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")) & (F.col("_copy") == F.col("_c")))
+    # A payload is looked up by its row's id and digest in one key, so that it is shuffled once; of rows repeated in
+    # both, by number (not as a key of the join, which would shuffle it again).
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest")
+    bodies = named.select(key.alias("_key"), "html").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    full = decided.where("_first").withColumn("_key", key).join(bodies, "_key").where(F.col("_copy") - F.col("_nth") == 0)
     columns = ["page_id", "url", "digest", "length", "_largest", "html"]
     all_rows = full.select(*columns).unionByName(decided.where(~F.col("_first")).withColumn("html", F.lit(None).cast("binary")).select(*columns))
 
