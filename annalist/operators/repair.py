@@ -18,9 +18,11 @@ from annalist.functions import urls
 from annalist.functions.times import url_published_at
 from annalist.operators import attribution as at
 from annalist.operators import documents as dc
+from annalist.operators.extraction import extract_events
 from annalist.operators.persons import Scope
+from annalist.operators.resolution import Resolution, resolve
 from annalist.operators.segments import LEXICON
-from annalist.operators.timeline import parser_config
+from annalist.operators.timeline import audit_row, parser_config
 from annalist.session import cut_lineage
 
 SAMPLE = 20
@@ -34,6 +36,11 @@ class Repair:
     sample: DataFrame
     changes: dict[str, DataFrame] = field(default_factory=dict)
 
+    def audit(self, action: str, at: Column) -> DataFrame:
+        """The job's audit row; its summary is the report as JSON."""
+        whole = F.to_json(F.struct(*self.report.columns))
+        return audit_row(self.report.withColumn("summary", whole), action, "repair", F.col("summary"), at)
+
 
 def without(df: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
     return df.join(doomed.select(key), key, "left_anti")
@@ -148,6 +155,18 @@ def cleanup_family(documents: DataFrame, evidence: DataFrame, events: DataFrame,
                   {"documents": rejected.select("document_id"), "rewritten": rewritten, "evidence": lost.select("evidence_id"), "events": gone})
 
 
+def reanalyse(job: Repair, events: DataFrame, evidence: DataFrame, scope: Scope, as_of: Column, lexicon: vocab.Lexicon = LEXICON,
+              limits: vocab.Limits = vocab.ALL) -> tuple[DataFrame, DataFrame, Resolution]:
+    """Analyse the documents again that ``cleanup_family`` rewrote: (events and evidence without what it removes, and
+    what the new texts bring)."""
+    events_left = without(events, job.changes["events"], "event_id")
+    evidence_left = without(evidence, job.changes["evidence"], "evidence_id")
+    rewritten = job.changes["rewritten"]
+    found, _ = extract_events(rewritten, scope, as_of, lexicon, limits)
+    incoming = found.join(rewritten.select("document_id", "collected_at"), "document_id")
+    return events_left, evidence_left, resolve(incoming, events_left, evidence_left, as_of, limits)
+
+
 # ---- times -----------------------------------------------------------------------------------------
 
 def _first_document(evidence: DataFrame, documents: DataFrame) -> DataFrame:

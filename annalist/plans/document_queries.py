@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import times, urls
@@ -165,6 +165,34 @@ def clean_articles(t: Tables) -> DataFrame:
     return dc.clean_articles(t.articles.withColumn("title", F.lit("")), ends=(" worthless ",)).select("document_id", "content_text")
 
 
+_BODY = f"CASE WHEN {_SQUEEZE.format('content_text')} = '' THEN 'x' ELSE {_SQUEEZE.format('content_text')} END"
+
+
+def _body() -> Column:
+    text = tx.squeeze(F.col("content_text"))
+    return F.when(text == "", "x").otherwise(text)
+
+
+@query("clean_article_arms", f"""SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'Headline' || document_id || ' ' || b WHEN 1 THEN '新华社北京电 ' || b ELSE b END content_text
+FROM (SELECT document_id, {_BODY} b FROM tl_articles)""")
+def clean_article_arms(t: Tables) -> DataFrame:
+    """Frames in front of the text: up to a far title, up to a dispatch lead, and one site's toolbar."""
+    k = F.col("document_id")
+    head = F.concat(F.lit("Headline"), k)
+    frame = F.when(k % 3 == 0, F.concat(F.lit("menu " * 30), head, F.lit(" "))).when(k % 3 == 1, "menu menu 新华社北京电 ").otherwise("打开 登录 ")
+    site = F.when(k % 3 == 2, "https://m.people.com.cn/a.html").otherwise("https://example.org/a.html")
+    docs = t.articles.select("document_id", site.alias("canonical_url"), head.alias("title"), F.concat(frame, _body()).alias("content_text"))
+    return dc.clean_articles(docs).select("document_id", "content_text")
+
+
+@query("clean_family", f"SELECT document_id, 'Headline' || document_id || ' ' || b || ' rest' content_text FROM (SELECT document_id, {_BODY} b FROM tl_articles)")
+def clean_family(t: Tables) -> DataFrame:
+    """One site family: page frame before a doubled title, a toolbar inside, further reading behind."""
+    head = F.concat(F.lit("Headline"), F.col("document_id"))
+    page = F.concat(F.lit("中国日报网首页 首页 时政 "), head, F.lit(" "), head, F.lit(" "), _body(), F.lit(" 站内搜索 go 分享到微信 rest 推荐阅读 more"))
+    return t.articles.select("document_id", dc.clean_family_text(head, page).alias("content_text"))
+
+
 @query("rejection_reasons", f"""SELECT document_id, CASE WHEN document_id % 10 = 0 THEN 'URL 或标题指向栏目/首页' WHEN length({_SQUEEZE.format('title')}) = 0 THEN '标题缺失或异常过长'
  WHEN (contains(tt, 'the') )::INT + contains(tt, 'and')::INT + contains(tt, 'of')::INT + contains(tt, 'on')::INT >= 3 THEN '标题包含多个导航栏目'
  WHEN length(b) < 12 THEN '正文过短'

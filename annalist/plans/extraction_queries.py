@@ -197,3 +197,20 @@ def model_event_checks(t: Tables) -> DataFrame:
 def extraction_providers(t: Tables) -> DataFrame:
     _, verdicts, providers = ex.extract_with_fallback(_model_output(t), t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
     return ex.model_runs(providers, verdicts, F.lit(AS_OF).cast("timestamp")).select("document_id", "provider", "status")
+
+
+@query("evidence_locations", f"""WITH {_SEGS}, ev AS (SELECT document_id, seg_idx asked, txt FROM segs WHERE seg_idx % 40 = 7)
+SELECT e.document_id, e.asked, min(s.seg_idx)::INT seg_idx FROM ev e JOIN segs s ON s.document_id = e.document_id AND (contains(s.txt, e.txt) OR contains(e.txt, s.txt))
+GROUP BY 1, 2""")
+def evidence_locations(t: Tables) -> DataFrame:
+    """The segment of every fortieth segment's text: an earlier one that holds it, or that it holds, comes first."""
+    asked = sg.segments(t.articles, LEX).where("seg_idx % 40 = 7").select("document_id", F.col("seg_idx").alias("asked"), F.col("text").alias("evidence_text"))
+    return ex.locate_evidence(asked, t.articles, LEX).select("document_id", "asked", "seg_idx")
+
+
+@query("model_run_metrics", """SELECT document_id, 'extract-v2' prompt_version, 'event-v2' schema_version, CASE WHEN document_id % 7 <> 0 THEN document_id * 3 ELSE 0 END latency_ms FROM tl_articles""")
+def model_run_metrics(t: Tables) -> DataFrame:
+    out = _model_output(t)
+    _, verdicts, providers = ex.extract_with_fallback(out, t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
+    calls = out.select("document_id", F.explode(F.array(F.col("document_id"), F.col("document_id") * 3)).alias("latency_ms"))
+    return ex.model_runs(providers, verdicts, F.lit(AS_OF).cast("timestamp"), calls).select("document_id", "prompt_version", "schema_version", "latency_ms")

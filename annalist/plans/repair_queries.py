@@ -61,7 +61,7 @@ def approve_pending(t: Tables) -> DataFrame:
 
 _RETIMED = _FIRST + """, first_text AS (SELECT event_id, arg_min(evidence_text, evidence_id) txt FROM tl_told GROUP BY 1),
 prop AS (SELECT * FROM (SELECT e.event_id, e.dedup_key, e.start_at, f.seen_at new_start, sha256(person_id || '|' || event_type || '|' ||
-  strftime(f.seen_at, '%Y-%m-%d') || '|' || substr(lower(regexp_replace(txt, '[^A-Za-z0-9]', '', 'g')), 1, 80)) new_key
+  strftime(f.seen_at, '%Y-%m-%d') || '|' || lower(regexp_replace(txt, '[^A-Za-z0-9]', '', 'g'))) new_key
  FROM tl_keyed e JOIN first_doc f ON f.event_id = e.event_id JOIN first_text x ON x.event_id = e.event_id WHERE NOT human_locked)
  WHERE dedup_key <> new_key OR start_at IS DISTINCT FROM new_start),
 outside AS (SELECT dedup_key FROM tl_keyed WHERE event_id NOT IN (SELECT event_id FROM prop)),
@@ -80,6 +80,14 @@ def retime_report(t: Tables) -> DataFrame:
     return rp.retime_events(t.keyed_events, t.told_evidence, t.documents).report
 
 
+@query("repair_audit", f"""WITH {_RETIMED}, r AS (SELECT (SELECT count(*) FROM won) a, (SELECT count(*) FROM prop) - (SELECT count(*) FROM won) b,
+ (SELECT count(*) FROM tl_events WHERE human_locked) c) SELECT 'retime_events' "action", 'repair' object_type, 'success' result,
+ '{{"repaired":' || a || ',"deleted_duplicates":' || b || ',"skipped_locked":' || c || '}}' change_summary FROM r""")
+def repair_audit(t: Tables) -> DataFrame:
+    job = rp.retime_events(t.keyed_events, t.told_evidence, t.documents)
+    return job.audit("retime_events", F.current_timestamp()).select("action", "object_type", "result", "change_summary")
+
+
 _POLLUTED = """moved AS (SELECT *, CASE document_id % 4 WHEN 0 THEN 'https://example.org/n/20' || lpad((document_id % 30)::VARCHAR, 2, '0') || '0315/a.html'
   WHEN 1 THEN 'https://example.org/2000/01/' || lpad((document_id % 40)::VARCHAR, 2, '0') || '/a' ELSE canonical_url END url FROM tl_documents),
 days AS (SELECT *, CASE document_id % 4 WHEN 0 THEN TRY_CAST('20' || lpad((document_id % 30)::VARCHAR, 2, '0') || '-03-15' AS TIMESTAMP)
@@ -106,7 +114,7 @@ first_doc AS (SELECT v.event_id, first(d.published_at ORDER BY coalesce(d.publis
   JOIN after d ON d.document_id = v.document_id WHERE v.event_id IN (SELECT w.event_id FROM tl_evidence w JOIN bad b ON b.document_id = w.document_id) GROUP BY 1),
 first_text AS (SELECT event_id, arg_min(evidence_text, evidence_id) txt FROM tl_told GROUP BY 1),
 prop AS (SELECT * FROM (SELECT e.event_id, e.dedup_key, e.start_at, f.seen_at new_start, sha256(person_id || '|' || event_type || '|' ||
-  strftime(f.seen_at, '%Y-%m-%d') || '|' || substr(lower(regexp_replace(txt, '[^A-Za-z0-9]', '', 'g')), 1, 80)) new_key
+  strftime(f.seen_at, '%Y-%m-%d') || '|' || lower(regexp_replace(txt, '[^A-Za-z0-9]', '', 'g'))) new_key
  FROM tl_keyed e JOIN first_doc f ON f.event_id = e.event_id JOIN first_text x ON x.event_id = e.event_id WHERE NOT human_locked AND f.seen_at IS NOT NULL)
  WHERE dedup_key <> new_key OR start_at IS DISTINCT FROM new_start),
 outside AS (SELECT dedup_key FROM tl_keyed WHERE event_id NOT IN (SELECT event_id FROM prop)),

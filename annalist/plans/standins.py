@@ -282,7 +282,7 @@ CTES = {
     "tl_evidence": "SELECT DISTINCT l_orderkey event_id, l_partkey document_id FROM lineitem",
     "tl_told": "SELECT event_id * 1000000 + document_id evidence_id, event_id, document_id, 'part ' || document_id % 500 evidence_text FROM tl_evidence",
     "tl_keyed": "SELECT *, sha256(person_id || '|' || event_type || '|' || coalesce(strftime(start_at, '%Y-%m-%d'), '') || '|' || "
-                "substr(lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')), 1, 80)) dedup_key FROM tl_events",
+                "lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'))) dedup_key FROM tl_events",
     "tl_documents": "SELECT p_partkey document_id, s_suppkey source_id, p_name title, p_name || ' by ' || p_brand content_text, "
                     "'https://example.org/p/' || p_partkey canonical_url, CASE WHEN p_partkey % 6 <> 0 THEN "
                     "TIMESTAMP '1998-01-01' + to_days((p_partkey % 1000)::INT) END published_at, "

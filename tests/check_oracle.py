@@ -16,6 +16,10 @@ from annalist.plans.standins import NAMES  # noqa: E402
 from annalist.session import build_session  # noqa: E402
 
 
+#: Text similarity and chained decisions have no SQL form; the tests hold these jobs against brute force.
+NO_TWIN = ("document_dedup_chained", "event_resolution", "event_matches", "run_summary")
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.sql("SET TimeZone='UTC'")
@@ -42,7 +46,7 @@ def check(spark, con, name: str, folder: str) -> tuple[bool, str]:
     took = time.time() - began
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return True, f"{len(got)} rows, no SQL twin, {took:.1f}s"
+        return name in NO_TWIN or name.startswith(("op", "pipeline")), f"{len(got)} rows, no SQL twin, {took:.1f}s"
     rel = con.execute(sql)
     columns = [d[0] for d in rel.description]
     want = rel.fetchall()
