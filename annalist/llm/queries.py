@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, embeddings, jaccard, mixing, pii, quality, sharding, substrings, tokenfile, warc
+from annalist.llm import bpe, embeddings, jaccard, mixing, oracles, pii, quality, sharding, substrings, tokenfile, warc
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,7 +17,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SURROGATE_KEY = b"annalist"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
