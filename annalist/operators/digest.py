@@ -195,6 +195,16 @@ def preview(candidates: DataFrame, events: DataFrame, persons: DataFrame, n: int
 
 # ---- runs, batches, items ------------------------------------------------------------------
 
+def _run_id() -> Column:
+    """A run is its rule and day; no hash can merge two."""
+    return F.concat_ws("/", F.col("rule_id").cast("string"), F.col("scheduled_date").cast("string"))
+
+
+def _batch_id() -> Column:
+    """256 bits of run, recipient and part: the recipient's address does not show, and no two batches meet."""
+    return F.sha2(F.concat_ws("|", F.col("run_id").cast("string"), "recipient", F.col("part_number").cast("string")), 256)
+
+
 def create_runs(windows: DataFrame, candidates: DataFrame, rules: DataFrame, ledger: DataFrame | None = None,
                 trigger: str = "scheduled", zone: str = vocab.LOCAL_ZONE) -> DataFrame:
     """New run rows, one per (rule, date) that the ledger does not hold yet.
@@ -213,7 +223,7 @@ def create_runs(windows: DataFrame, candidates: DataFrame, rules: DataFrame, led
         runs = runs.join(ledger.select("rule_id", "scheduled_date"), ["rule_id", "scheduled_date"], "left_anti")
     count = F.coalesce("candidate_count", F.lit(0))
     return runs.select(
-        F.xxhash64("rule_id", "scheduled_date").alias("run_id"), "rule_id", "scheduled_date", "scheduled_at",
+        _run_id().alias("run_id"), "rule_id", "scheduled_date", "scheduled_at",
         "window_start", "window_end", F.lit(trigger).alias("trigger_type"),
         F.when((count > 0) | F.col("send_when_empty"), "pending").otherwise("empty").alias("status"),
         count.alias("candidate_count"), F.col("send_when_empty"))
@@ -227,7 +237,7 @@ def batches(runs: DataFrame, recipients: DataFrame, max_events: int = 25) -> Dat
     out = runs.withColumn("parts", parts).where("parts > 0").join(recipients, "rule_id").select(
         "run_id", "rule_id", "scheduled_date", "recipient",
         F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part_number"))
-    batch_id = F.xxhash64("run_id", "recipient", "part_number")
+    batch_id = _batch_id()
     return out.withColumn("batch_id", batch_id).withColumn("status", F.lit("pending")).withColumn(
         "message_id", F.concat(F.lit("<digest-"), batch_id.cast("string"), F.lit("@local>")))
 
@@ -239,7 +249,7 @@ def items(runs: DataFrame, candidates: DataFrame, recipients: DataFrame, max_eve
     return (
         placed.join(runs.select("run_id", "rule_id", "scheduled_date"), ["rule_id", "scheduled_date"])
         .join(recipients, "rule_id")
-        .select(F.xxhash64("run_id", "recipient", "part_number").alias("batch_id"), "run_id", "event_id", "recipient",
+        .select(_batch_id().alias("batch_id"), "run_id", "event_id", "recipient",
                 "part_number", "position", F.lit("pending").alias("status"))
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from annalist import vocab
 from annalist.functions import text as tx
+from annalist.session import cut_lineage
 
 MAX_PAGE = 200
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -131,9 +132,9 @@ def page_after(df: DataFrame, last_shown, last_id: int, size: int = 20) -> DataF
 
 def page_with_evidence(listing: DataFrame, evidence: DataFrame, documents: DataFrame, sources: DataFrame,
                        order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
-    """A page with evidence counts and source names. The page is taken first, so only its events'
-    evidence is summed up; a page holds at most 200 rows and may be broadcast."""
-    shown = page(listing, order, number, size)
+    """A page with evidence counts and source names. The page is taken first and stored, so the listing is planned once
+    and only the page's events' evidence is summed up; a page holds at most 200 rows and may be broadcast."""
+    shown = cut_lineage(page(listing, order, number, size))
     backing = evidence.join(F.broadcast(shown.select("event_id")), "event_id")
     return with_evidence_summary(shown, backing, documents, sources)
 
