@@ -5,6 +5,8 @@ The prose is not Chinese and holds no real names, so the lexicon and the persons
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,22 @@ def attribution_reasons(t: Tables) -> DataFrame:
     return at.attribute(_judged(t), scope(t)).groupBy("document_id", "seg_idx", "event_type", "reason").agg(F.sum("n").alias("n"))
 
 
+# a mention inside "with ... <name>" before the predicate is background
+_FRAMED = "regexp_extract(lower(substr(txt, cs + 1, pp - cs)), '(?s)^(.*?)(with [^,.]{0,8}' || nm || ')', %d)"
+_BACKGROUND = _OWN.replace("AND NOT rival GROUP", f"AND NOT rival AND NOT (length({_FRAMED % 2}) > 0 AND pos - cs BETWEEN length({_FRAMED % 1}) "
+                           f"AND length({_FRAMED % 1}) + length({_FRAMED % 2})) GROUP")
+
+
+@query("attribution_background", f"WITH {_BACKGROUND} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type, reason FROM verdict WHERE reason IN ('explicit_subject', 'target_not_subject')")
+def attribution_background(t: Tables) -> DataFrame:
+    """Attribution with a background pattern in the lexicon."""
+    lexicon = replace(LEX, background=("with [^,.]{0,8}{name}",))
+    rows = at.scored_segments(t.articles, lexicon).drop("prev_text", "next_text")
+    judged = cut_lineage(at.judged_rows(rows, at.KEYS, scope(t), lexicon))
+    return at.attribute(judged, scope(t)).where(F.col("reason").isin("explicit_subject", "target_not_subject")).select(
+        "document_id", "seg_idx", "person_id", "event_type", "reason")
+
+
 @query("attribution_stats", f"""WITH {_OWN} SELECT document_id, count(*) candidates, count(*) FILTER (WHERE reason IN ('explicit_subject', 'pronoun_continuation')) accepted,
  count(*) FILTER (WHERE reason = 'pronoun_ambiguous') pronoun_ambiguous, count(*) FILTER (WHERE reason = 'target_not_mentioned') target_not_mentioned,
  count(*) FILTER (WHERE reason = 'target_not_subject') target_not_subject FROM verdict GROUP BY ROLLUP (document_id)""")
