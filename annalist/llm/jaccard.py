@@ -23,7 +23,7 @@ def bands_for(threshold: float, recall: float, most_hashes: int = 256) -> tuple[
     least ``recall`` within ``most_hashes`` hashes."""
     best = None
     for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:
@@ -139,7 +139,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: Callable[[dict], tuple]) ->
         yield now, held
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block_grams: int = 1_000_000,
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block_grams: int = 300_000,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: its class, and how many other rows have a Jaccard similarity of at least ``threshold`` with it.
 
@@ -198,7 +198,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
                     [*(part.column(c) for c in ("cluster", "set", "copies")), pa.array([g.tobytes() for g in grams], pa.binary())], ["cluster", "set", "copies", "held"])
                 yield whole.filter(pa.array([bool(s) for s in same], pa.bool_()))
 
-    texts = named.withColumnRenamed("doc_id", "_doc").join(members, F.col("_doc").eqNullSafe(F.col("least"))).select("cluster", "set", "copies", "set_key", "text")
+    # Always by a shuffle of the texts: a join whose way depends on the number of members costs another way at each size.
+    texts = named.withColumnRenamed("doc_id", "_doc").join(members.hint("merge"), F.col("_doc").eqNullSafe(F.col("least"))).select("cluster", "set", "copies", "set_key", "text")
     held = texts.mapInArrow(rebuilt, "cluster long, set long, copies long, held binary").join(blocks, "cluster")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks"))
     dealt = held.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
@@ -243,6 +244,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     columns = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(columns))))
     key, text = f"_{columns.index(id_col)}", f"_{columns.index(text_col)}"
-    left = plain.join(dropped, F.col(key) == F.col("_gone"), "left_anti")
+    named = plain.where(F.col(key).isNotNull())  # rows without an id would all meet in one task
+    left = named.join(dropped, F.col(key) == F.col("_gone"), "left_anti")
     nth = F.row_number().over(Window.partitionBy(key, F.sha2(F.coalesce(text, F.lit("")), 256)).orderBy(key))
-    return left.withColumn("_nth", nth).where(F.col(key).isNull() | (F.col("_nth") == 1)).drop("_nth").toDF(*columns)
+    kept = left.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return kept.unionByName(plain.where(F.col(key).isNull())).toDF(*columns)
