@@ -202,10 +202,11 @@ def judge_evidence(rows: DataFrame, keys: list[str], scope: Scope, lexicon: voca
     ``force_target`` the row's person is in scope even if the source is not linked to them.
     """
     base = rows.select(*keys, "source_id", F.col("person_id").alias("target"), "event_type",
-                       tx.squeeze(F.col("evidence_text")).alias("text"), F.col("evidence_text").alias("raw"),
-                       unit_array(F.col("content_text"), lexicon).alias("units"))
+                       tx.squeeze(F.col("evidence_text")).alias("text"), F.col("evidence_text").alias("raw"), "content_text")
+    # only a statement that starts with a pronoun needs its place in the text
     lead = F.regexp_like("text", F.lit(lexicon.dated_pronoun_lead)) & (F.col("event_type") == "statement")
-    base = base.withColumn("at", F.when(lead, locate(F.col("raw"), F.col("units"))))
+    base = base.withColumn("units", F.when(lead, unit_array(F.col("content_text"), lexicon))).drop("content_text")
+    base = base.withColumn("at", locate(F.col("raw"), F.col("units")))
     here, before = F.get("units", F.col("at")), F.get("units", F.col("at") - 1)
     follows = (before["paragraph"] == here["paragraph"]) & ~here["list_boundary"]
     # the evidence itself and, for pronoun statements, the segment before it are judged together

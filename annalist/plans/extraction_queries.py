@@ -16,6 +16,7 @@ from annalist.functions.times import seconds_text
 from annalist.operators import attribution as at
 from annalist.operators import extraction as ex
 from annalist.operators import persons as pe
+from annalist.operators import repair as rp
 from annalist.operators import segments as sg
 from annalist.plans.catalogue import query
 from annalist.plans.standins import Tables
@@ -217,12 +218,11 @@ def extraction_providers(t: Tables) -> DataFrame:
     return ex.model_runs(providers, verdicts, F.lit(AS_OF).cast("timestamp")).select("document_id", "provider", "status")
 
 
-@query("evidence_locations", f"""WITH {_SEGS}, ev AS (SELECT document_id, seg_idx asked, txt FROM segs WHERE seg_idx % 40 = 7)
-SELECT e.document_id, e.asked, min(s.seg_idx)::INT seg_idx FROM ev e JOIN segs s ON s.document_id = e.document_id AND (contains(s.txt, e.txt) OR contains(e.txt, s.txt))
-GROUP BY 1, 2""")
+@query("evidence_locations", f"""WITH {_SEGS} SELECT e.document_id, e.seg_idx asked, min(s.seg_idx)::INT seg_idx FROM segs e
+JOIN segs s ON s.document_id = e.document_id AND (contains(s.txt, e.txt) OR contains(e.txt, s.txt)) GROUP BY 1, 2""")
 def evidence_locations(t: Tables) -> DataFrame:
-    """The segment of every fortieth segment's text: an earlier one that holds it, or that it holds, comes first."""
-    asked = sg.segments(t.articles, LEX).where("seg_idx % 40 = 7").select("document_id", F.col("seg_idx").alias("asked"), F.col("text").alias("evidence_text"))
+    """The segment of every segment's text: an earlier one that holds it, or that it holds, comes first."""
+    asked = sg.segments(t.articles, LEX).select("document_id", F.col("seg_idx").alias("asked"), F.col("text").alias("evidence_text"))
     return ex.locate_evidence(asked, t.articles, LEX).select("document_id", "asked", "seg_idx")
 
 
@@ -232,3 +232,17 @@ def model_run_metrics(t: Tables) -> DataFrame:
     _, verdicts, providers = ex.extract_with_fallback(out, t.articles, scope(t), F.lit(AS_OF).cast("timestamp"), LEX)
     calls = out.select("document_id", F.explode(F.array(F.col("document_id"), F.col("document_id") * 3)).alias("latency_ms"))
     return ex.model_runs(providers, verdicts, F.lit(AS_OF).cast("timestamp"), calls).select("document_id", "prompt_version", "schema_version", "latency_ms")
+
+
+@query("recheck_invalid", f"""WITH {_OWN} SELECT document_id, seg_idx, person_id::BIGINT person_id, event_type FROM verdict WHERE reason = 'target_not_subject'""")
+def recheck_invalid(t: Tables) -> DataFrame:
+    """All explicit verdicts, true or not, as stored evidence: what the recheck finds unproven."""
+    judged = _judged(t)
+    told = at.attribute(judged, scope(t)).where(F.col("reason").isin("explicit_subject", "target_not_subject"))
+    rows = told.join(judged.select("document_id", "seg_idx", F.col("text").alias("evidence_text")), ["document_id", "seg_idx"])
+    rows = cut_lineage(rows.withColumn("evidence_id", F.monotonically_increasing_id()))
+    evidence = rows.select("evidence_id", F.col("evidence_id").alias("event_id"), "document_id", "evidence_text")
+    events = rows.select(F.col("evidence_id").alias("event_id"), "person_id", "event_type", F.lit(False).alias("human_locked"))
+    sources = t.articles.select("source_id", F.col("source_id").cast("string").alias("name")).distinct()
+    job = rp.recheck_attribution(evidence, events, t.articles, people(t), sources, scope(t), lexicon=LEX)
+    return rows.join(job.changes["evidence"], "evidence_id", "left_semi").select("document_id", "seg_idx", "person_id", "event_type")
