@@ -8,7 +8,8 @@ from check_oracle import check, connect
 FOLDER = "/root/testdata/sf0.001"
 FAST = ("timeline_page", "timeline_filtered", "shadowed_other", "evidence_summary", "cross_search", "person_list", "source_list",
         "digest_items", "digest_texts", "digest_rule_rejects", "run_status_rollup", "orphan_events", "retime_report", "page_documents",
-        "feed_documents", "segments", "attribution", "document_duplicates", "stream_daily_counts")
+        "feed_documents", "segments", "attribution", "document_duplicates", "stream_daily_counts",
+        "clean_family", "clean_article_arms", "evidence_locations", "attribution_reasons", "repair_audit", "discover_candidates")
 
 
 def test_every_oracle_has_a_query():

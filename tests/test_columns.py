@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from annalist import vocab
 from annalist.functions import similarity as sm
 from annalist.functions import times, urls
 from annalist.operators import delivery as dl
@@ -11,6 +12,8 @@ from annalist.operators import digest as dg
 from annalist.operators import documents as dc
 from annalist.operators import extraction as ex
 from annalist.sources import feeds as fd
+from annalist.sources import links as lk
+from annalist.sources import pages as pg
 
 
 def one(spark, value, column):
@@ -48,6 +51,30 @@ def test_keys_and_similarity(spark):
     assert score >= 0.72
 
 
+def test_limits_cut_only_when_asked(spark):
+    long = "会议开始" * 60
+    pair = [long + "甲", long + "乙"]
+    day = F.lit("2026-05-13").cast("timestamp")
+    key = lambda limits: one(spark, pair, sm.dedup_key(F.lit(1), F.lit("other"), day, F.col("c0"), limits))
+    assert len(set(key(vocab.ALL))) == 2 and len(set(key(vocab.SMALL))) == 1
+    body = "开头" * 3000 + "2026年06月17日12:17"
+    dated = lambda limits: one(spark, [body], times.body_published_at(F.col("c0"), limits))[0]
+    assert dated(vocab.ALL) is not None and dated(vocab.SMALL) is None
+
+
+def test_character_references(spark):
+    got = one(spark, ["&amp;lt; &#39;&#x4e2d;&eacute;&nosuch; &", "plain", "&#0;&#xD800;"], pg.unescaped(F.col("c0")))
+    assert got == ["&lt; '中é&nosuch; &", "plain", "&#0;&#xD800;"]
+
+
+def test_configured_hosts_lose_their_dots(spark):
+    source = [(1, "https://www.example.org/", '{"discovery_enabled":true,"discovery_max_depth":5,"discovery_max_pages":90,"discovery_allowed_hosts":[".Example.org."," "]}')]
+    root, = lk.discovery_roots(spark.createDataFrame(source, "source_id long, entry_url string, parser_config string")).collect()
+    assert (root.hosts, root.max_pages, root.max_depth) == (["example.org"], 90, 5)
+    small, = lk.discovery_roots(spark.createDataFrame(source, "source_id long, entry_url string, parser_config string"), 10, vocab.SMALL).collect()
+    assert (small.max_pages, small.max_depth) == (30, 2)
+
+
 def test_bound_never_hides_a_match():
     import random
     from difflib import SequenceMatcher

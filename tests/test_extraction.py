@@ -82,3 +82,13 @@ def test_recheck(spark):
     rest = rp.without(evidence, job.changes["evidence"], "evidence_id")
     again = rp.recheck_attribution(rest, rp.without(events, job.changes["events"], "event_id"), frame, people, sources, scope).report.first()
     assert again.invalid_evidence == 0
+
+
+def test_very_many_names_and_none(spark):
+    names = spark.range(7000).select(F.col("id").alias("person_id"), F.concat(F.hex("id"), F.lit("-name")).alias("name"), F.lit(True).alias("enabled"),
+                                     F.lit(None).cast("timestamp").alias("deleted_at"))
+    rows = spark.createDataFrame([(1, "x 1b57-name meets ff-NAME, and nobody")], "document_id long, text string")
+    found = pe.find_names(rows, ["document_id"], pe.name_table(names)).select("name", "pos").collect()
+    want = {("1B57-name", 2), ("B57-name", 3), ("57-name", 4), ("7-name", 5), ("FF-name", 18), ("F-name", 19)}
+    assert {tuple(r) for r in found} == {w for w in want if int(w[0].split("-")[0], 16) < 7000 and not (len(w[0]) > 6 and w[0][0] == "0")}
+    assert pe.find_names(rows, ["document_id"], pe.name_table(names.limit(0))).count() == 0
