@@ -15,11 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import discard, pick, prepare, store, utf8
+from annalist.llm.common import pick, prepare, store, utf8
 
 GRAM = 32
 #: Windows looked at together; a place in them takes 24 bits.
@@ -125,7 +124,7 @@ def runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
 
 
-def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, lead_stretches: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every byte that lies in a string of ``length`` bytes which also starts anywhere else, in the same text or
     another; overlaps count, and strings are judged on the input.
 
@@ -135,12 +134,13 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, id_
 
     Texts are known by 128 bits of hash. Stretches that meet in one batch count together before the shuffle; sampled
     splitters deal them by ranges of (lead, stretch), so a lead that very many share goes to many tasks. The suffixes left
-    over are dealt by ranges of their leading bytes, and sorted ``bucket_bytes`` at a time; a lead that goes over a border
-    meets by hashes of its windows afterwards. Work is proportional to the bytes of the texts.
+    over are dealt by ranges of their leading bytes, and sorted about ``bucket_bytes`` at a time. A lead of more than
+    ``lead_stretches`` different stretches is cut into parts, whose windows meet across their borders by their hashes.
+    Work is proportional to the bytes of the texts.
 
     Returns doc_id, n_bytes, spans (array of removed (lo, hi)), kept (binary).
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     lead = length - reach_of(length) + 1
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
@@ -224,8 +224,12 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, id_
     second_marks = store(dealt.mapInArrow(settled, schema), "stretches")
 
     # The bytes of what is left, from one row of each text.
-    wanted = second_marks.where(F.col("kind") == STRETCH).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("lo", "hi", "anchor", "lead", "stretch", "n")).alias("wanted"))
+    open_ = second_marks.where(F.col("kind") == STRETCH)
+    common = open_.groupBy("lead").agg(F.count("*").alias("_n")).where(F.col("_n") > lead_stretches).select(
+        "lead", F.ceil(F.col("_n") / lead_stretches).cast("long").alias("parts"))
+    part = F.when(F.col("parts").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("stretch"), F.col("parts")))
+    wanted = open_.join(common, "lead", "left").withColumn("part", part).groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("lo", "hi", "anchor", "lead", "stretch", "n", "part")).alias("wanted"))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,45 +238,40 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, id_
                 raw = text.encode()
                 for lo in range(0, len(spans), 5000):
                     some = spans[lo : lo + 5000]
-                    plain = [pa.array([s[c] for s in some], pa.int64()) for c in ("lo", "hi", "anchor", "lead", "stretch", "n")]
+                    plain = [pa.array([s[c] for s in some], pa.int64()) for c in ("lo", "hi", "anchor", "lead", "stretch", "n", "part")]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k] * len(some), pa.int64()) for k in (k1, k2)] + plain
                         + [pa.array([raw[s["lo"] : s["hi"] + length] for s in some], pa.binary()),
                            pa.array([raw[s["anchor"] : s["anchor"] + lead] for s in some], pa.binary())],
-                        ["k1", "k2", "lo", "hi", "anchor", "lead", "stretch", "n", "bytes", "suffix"])
+                        ["k1", "k2", "lo", "hi", "anchor", "lead", "stretch", "n", "part", "bytes", "suffix"])
 
-    left = texts.mapInArrow(suffixes, "k1 long, k2 long, lo long, hi long, anchor long, lead long, stretch long, n long, bytes binary, suffix binary")
+    left = texts.mapInArrow(suffixes, "k1 long, k2 long, lo long, hi long, anchor long, lead long, stretch long, n long, part long, bytes binary, suffix binary")
     border = ["kind", "k1", "k2", "lo", "hi", "h1", "h2", "part"]
     OPEN, SEEN = 1, 2
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks of windows that are equal to another of this bucket, and hashes of those whose lead is the bucket's
-        first or last one."""
-        part = TaskContext.get().partitionId() << 32
-
+        """Marks of windows that are equal to another of the bucket's; and of leads that are in parts, the hashes of
+        all their different windows."""
         def batch_out(*columns: object) -> pa.RecordBatch:
             size = max(np.size(c) for c in columns)
             return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(c, np.int64), size)) for c in columns], border)
 
-        def handle(held: list[dict], head: bool, tail: bool) -> Iterator[pa.RecordBatch]:
+        def handle(held: list[dict]) -> Iterator[pa.RecordBatch]:
             held = list({(r["lead"], r["stretch"]): r for r in held}.values())
             if not held:
                 return
-            col = {c: np.array([r[c] for r in held], np.int64) for c in ("k1", "k2", "lo", "hi", "anchor", "n")}
+            col = {c: np.array([r[c] for r in held], np.int64) for c in ("k1", "k2", "lo", "hi", "anchor", "n", "part")}
             size = np.array([len(r["bytes"]) for r in held])
             data = np.frombuffer(b"".join(r["bytes"] for r in held) + bytes(8), np.uint8)
-            leads: dict[bytes, int] = {}
-            group = np.array([leads.setdefault(r["suffix"], len(leads)) for r in held])
+            leads: dict[tuple, int] = {}
+            group = np.array([leads.setdefault((r["suffix"], r["part"]), len(leads)) for r in held])
             base = size.cumsum() - size
             owner, start, number = equal_windows(data, base, col["lo"], col["hi"], col["anchor"], group, length, lead)
             mark = (number >= 0) & (col["n"][owner] == 1)
             key, lo, hi = runs(owner[mark], start[mark])
             if len(key):
                 yield batch_out(MARK, col["k1"][key], col["k2"][key], lo, hi, 0, 0, 0)
-            ends = [g for g, on in ((group[0], head), (group[-1], tail)) if on]
-            if not ends:
-                return
-            edge = np.flatnonzero(np.isin(group[owner], ends))
+            edge = np.flatnonzero(col["part"][owner] >= 0)
             _, one = np.unique(np.where(number[edge] >= 0, number[edge], len(owner) + edge), return_index=True)
             edge = edge[one]  # of equal windows, one
             waits = (number[edge] < 0) & (col["n"][owner[edge]] == 1)
@@ -281,21 +280,20 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, id_
                 at = (base[owner[e]] + start[e] - col["lo"][owner[e]]).tolist()
                 view = memoryview(data)
                 found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : a + length]) for a in at), "<i8").reshape(-1, 2)
-                yield batch_out(np.where(w, OPEN, SEEN), col["k1"][owner[e]], col["k2"][owner[e]], start[e], start[e], found[:, 0], found[:, 1], part)
+                yield batch_out(np.where(w, OPEN, SEEN), col["k1"][owner[e]], col["k2"][owner[e]], start[e], start[e], found[:, 0], found[:, 1], col["part"][owner[e]])
 
-        held, weight, head, now = [], 0, True, None
+        held, weight, now = [], 0, None
         for batch in batches:
             for row in batch.to_pylist():
-                goes_on = row["suffix"] == now
-                if weight > (bucket_bytes * 4 if goes_on else bucket_bytes):  # a very common lead is cut inside
-                    yield from handle(held, head, goes_on)
-                    held, weight, head, part = [], 0, goes_on, part + 1
-                now = row["suffix"]
+                if (row["suffix"], row["part"]) != now and weight > bucket_bytes:
+                    yield from handle(held)
+                    held, weight = [], 0
+                now = row["suffix"], row["part"]
                 held.append(row)
                 weight += len(row["bytes"])
-        yield from handle(held, head, True)
+        yield from handle(held)
 
-    bucketed = left.repartitionByRange("suffix", "stretch").sortWithinPartitions("suffix", "stretch")
+    bucketed = left.repartitionByRange("suffix", "part").sortWithinPartitions("suffix", "part", "stretch")
     third = store(bucketed.mapInArrow(compared, ", ".join(f"{n} long" for n in border)), "windows")
     waiting = third.where(F.col("kind") > MARK)
     across = waiting.groupBy("h1", "h2").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("h1", "h2")

@@ -42,11 +42,11 @@ def corpus(seed, rows=160):
     return texts + texts[20:24] + [prose(3000)]
 
 
-@pytest.mark.parametrize("length, seed, bucket", [(100, 1, 4_000_000), (128, 2, 1000), (400, 3, 2000)])
-def test_equals_brute_force(spark, length, seed, bucket):
+@pytest.mark.parametrize("length, seed, bucket, most", [(100, 1, 4_000_000, 10_000), (128, 2, 1000, 3), (400, 3, 2000, 1)])
+def test_equals_brute_force(spark, length, seed, bucket, most):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(5)
-    got = {r["doc_id"]: (r["n_bytes"], [list(s) for s in r["spans"]], bytes(r["kept"])) for r in substrings.dedup(df, length, bucket).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], [list(s) for s in r["spans"]], bytes(r["kept"])) for r in substrings.dedup(df, length, bucket, most).collect()}
     want = brute(texts, length)
     wrong = [i for i in got if got[i] != want[i]]
     assert len(got) == len(texts) and not wrong
