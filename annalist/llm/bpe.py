@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,12 @@ from annalist.llm.common import pick, prepare, words_of
 
 #: Texts with a run of this many characters without white space are cut there and joined again.
 PIECE = 2048
-#: Entries of a worker's table of known words; it starts anew when full.
-KNOWN = 1 << 20
+#: Entries of a worker's tables of known words; a table starts anew when full.
+KNOWN = 700_000
+#: Fixed value: how vocabularies of this kind split a text into words.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that lower one to one and stand alone in every normal form, then marks of which no added token is made.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@\[\]^_`{}~-]*)").fullmatch
 
 
 class Words(dict):
@@ -26,9 +32,9 @@ class Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[str] = []
+        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self.fresh.append(word)
         self[word] = number = len(self)
         return number
@@ -62,8 +68,24 @@ class Encoder:
         self.closing = BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"])
         self.token_of = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.size = max(self.token_of) + 1
+        # The library writes each byte as a character: printable ones as themselves, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = dict(zip(shown, shown)) | {b: 256 + k for k, b in enumerate(hidden)}
+        lowers = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        self.simple = lowers and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.runs: dict[str, bytes] = {}
         self._reset()
 
+    def _run(self, run: str) -> bytes:
+        """The ids of a run that the library leaves in one piece, as little-endian unsigned 32-bit numbers."""
+        if (found := self.runs.get(run)) is None:
+            if len(self.runs) > KNOWN:
+                self.runs.clear()
+            ids = [t.id for t in self.closing.tokenize(run.encode().decode("latin-1").translate(self.shown))]
+            found = self.runs[run] = np.array(ids, "<u4").tobytes()
+        return found
+
     def _reset(self) -> None:
         self.words = Words()
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -72,39 +94,43 @@ class Encoder:
 
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            ids = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = int(self.ends[self.known - 1]) if self.known else 0
-            total = start + int(count.sum())
-            while total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.known + len(part) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[start:total] = np.fromiter((i for x in ids for i in x), np.uint32, total - start)
-            self.ends[self.known : self.known + len(part)] = start + count.cumsum()
-            self.known += len(part)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        found: list[bytes | None] = []
+        for raw in fresh:
+            plain = PLAIN(raw.decode()) if self.simple else None
+            found.append(self._run(plain[1].lower()) + (self._run(plain[2]) if plain[2] else b"") if plain else None)
+        other = [k for k, ids in enumerate(found) if ids is None]
+        for lo in range(0, len(other), 20_000):
+            some = other[lo : lo + 20_000]
+            for k, e in zip(some, self.library.encode_batch([fresh[k].decode() for k in some], add_special_tokens=False)):
+                found[k] = np.array(e.ids, "<u4").tobytes()
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = int(self.ends[self.known - 1]) if self.known else 0
+        total = start + int(count.sum())
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), np.uint32)])
+        if self.known + len(fresh) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(fresh), np.int64)])
+        self.flat[start:total] = np.frombuffer(b"".join(found), "<u4")
+        self.ends[self.known : self.known + len(fresh)] = start + count.cumsum()
+        self.known += len(fresh)
+
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
         """The ids of each text; null: none. For texts without very long words."""
-        out = []
-        for text in texts:
-            words = words_of(text) if text else []
-            numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            if self.words.fresh:
-                self._learn()
-            if not len(words):
-                out.append(np.zeros(0, np.uint32))
-                continue
-            ends = self.ends[numbers]
-            starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
-            count = ends - starts
-            shift = np.repeat(starts - np.concatenate([[0], count.cumsum()[:-1]]), count)
-            out.append(self.flat[shift + np.arange(len(shift))])
-            if len(self.words) > KNOWN:
-                self._reset()
-        return out
+        # Bytes split at the six characters of white space that are ASCII, and at nothing else.
+        words = [(t.encode() if isinstance(t, str) else t or b"").split() for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
+        if self.words.fresh:
+            self._learn()
+        ends = self.ends[numbers]
+        starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        count = ends - starts
+        after = count.cumsum()
+        ids = self.flat[np.repeat(starts - after + count, count) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.concatenate([[0], after])[np.concatenate([[0], size.cumsum()])]
+        if len(self.words) > KNOWN:
+            self._reset()
+        return [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
 
     # Long unsplit text.
 
@@ -191,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         enc = encoder(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [x.astype("<u4").tobytes() for x in enc.encode(part.column("text").to_pylist())]
+                ids = [x.astype("<u4").tobytes() for x in enc.encode(part.column("text").cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,7 +131,7 @@ def slots(table: Table) -> np.ndarray:
 class Run:
     """Documents in order, cut into blocks."""
 
-    def __init__(self, part: int, table: Table, block_ids: int, lanes: int, segment: int, together: int = 8) -> None:
+    def __init__(self, part: int, table: Table, block_ids: int, lanes: int, segment: int, together: int = 4) -> None:
         self.part, self.table, self.block_ids, self.lanes, self.segment, self.together = part, table, block_ids, lanes, segment, together
         self.pending: list[np.ndarray] = []
         self.docs: list[list] = []  # place, id (None: null), ids still to be written
@@ -217,7 +217,7 @@ def ids_of(head: tuple, body: memoryview, table: Table) -> tuple[np.ndarray, np.
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-          block_ids: int = 1 << 18, lanes: int = 256, segment: int = 256) -> None:
+          block_ids: int = 1 << 20, lanes: int = 1024, segment: int = 256) -> None:
     """Encode every whole text, append ``end_id``, and write the ids in ascending order of the integer id.
 
     Null and empty texts have the end id alone. Null ids come first; rows of equal id are ordered by a hash of
@@ -237,7 +237,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
         small = len(counts) <= 1 << 16
         for batch in batches:
             for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(piece.column("text").to_pylist())]
+                found = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(piece.column("text").cast(pa.binary()).to_pylist())]
                 counts += np.bincount(np.concatenate(found), minlength=len(counts))
                 raw = [ids.astype("<u2" if small else "<u4").tobytes() for ids in found]
                 n = len(raw)
