@@ -121,6 +121,16 @@ def test_surrogates(spark):
     assert tail.split()[1] == name and tail.split()[2] in new and tail.split()[3] in new and name.upper() in new
 
 
+@pytest.mark.parametrize("text, forms", [
+    ("4845168114407329 7536784127813050", ["4845168114407329"]), ("7536784127813050 4845168114407329 1234", ["4845168114407329"]),
+    ("+1 (017) 555-7713 97.51.17.173 4845168114407329", ["+10175557713", "97.51.17.173", "4845168114407329"]),
+    ("DE89 3704 0044 0532 0130 00 THAT WAS ALL", ["DE89370400440532013000"]), ("+49 30 1234567, +33 1 23 45 67 89", ["+49301234567", "+33123456789"]),
+    ("Version 2.0, 12.5.2024, page 17 of 1200, order 9807915762804490, 256.1.1.1, x@y", []), ("3782 822463 10005", ["378282246310005"]),
+])
+def test_entities(text, forms):
+    assert [f for _, _, _, f in pii.entities(text)] == forms
+
+
 def test_no_two_entities_share_a_surrogate(spark):
     # Nine of ten addresses of a small shape are in use: draws collide with each other and with real ones.
     forms = [("ipv4", f"{a}.{b}.{c}.{d}") for a in range(4) for b in range(10) for c in range(10) for d in range(9)] + [("email", f"{x}@a.de") for x in "abcdefghijklmnopqrstuvwxyz"]
