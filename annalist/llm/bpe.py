@@ -20,7 +20,7 @@ from annalist.llm.common import pick, prepare, words_of
 #: Texts with a run of this many characters without white space are cut there and joined again.
 PIECE = 2048
 #: Entries of a worker's tables of known words; a table starts anew when full.
-KNOWN = 700_000
+KNOWN = 300_000
 #: Fixed value: how vocabularies of this kind split a text into words.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Letters that lower one to one and stand alone in every normal form, then marks of which no added token is made.

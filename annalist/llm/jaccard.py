@@ -34,7 +34,7 @@ def bands_for(threshold: float, recall: float, most_hashes: int = 256) -> tuple[
 class Shingles:
     """Sets of hashed word n-grams. A text of fewer than n words, but one at least, has one n-gram of all its words."""
 
-    def __init__(self, n: int, known: int = 1 << 20) -> None:
+    def __init__(self, n: int, known: int = 300_000) -> None:
         self.n, self.known = n, known
         self.hash_of: dict[str, int] = {}
 
