@@ -121,6 +121,23 @@ def test_surrogates(spark):
     assert tail.split()[1] == name and tail.split()[2] in new and tail.split()[3] in new and name.upper() in new
 
 
+def test_names_again(spark):
+    """A name of a text goes wherever it stands in it; titles in capitals; names of the default table and of one's own."""
+    texts = ["Miller left. Dr. Robert Miller met Mrs. O'Neill-Berg.\nMiller's dog, a Miller-led group and MILLER said: O'Neill-Berg, Robert; the miller, Millers.",
+             "MR SMITH; John Smith; Maria Garcia's car. Garcia said", "Zorblat Quine and Quine", "Miller alone", "Mr Lee, lee@corp.org Lee@corp.org"]
+    got = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), KEY).orderBy("doc_id").collect()]
+    miller = re.search(r"^(\w+) left", got[0])[1]
+    robert, oneill = re.search(r"Dr\. (\w+) " + miller + r" met Mrs\. (\w+)\.", got[0]).groups()
+    assert got[0].split("\n")[1] == f"{miller}'s dog, a {miller}-led group and {miller.upper()} said: {oneill}, {robert}; the miller, Millers."
+    assert "Miller" not in (miller, oneill) and robert != "Robert"
+    smith, garcia = re.search(r"^MR (\w+); \w+ (\w+); \w+ (\w+)'s car\. \3 said$", got[1]).group(2, 3)
+    assert got[1].startswith(f"MR {smith.upper()};") and smith != garcia and not re.search("(?i)smith|garcia|john|maria", got[1])
+    assert got[2:4] == texts[2:4] and not re.search("(?i)lee", got[4])
+    own = spark.createDataFrame([("Zorblat", "m"), ("Zorblat", "m"), (None, "f")], "name string, gender string")
+    new, = pii.replace(spark.createDataFrame([(1, texts[2])], "doc_id long, text string"), KEY, given_table=own).collect()
+    assert new["n_entities"] == 3 and re.fullmatch(r"(?!Zorblat)\w+ (\w+) and \1", new["text"]) and "Quine" not in new["text"]
+
+
 @pytest.mark.parametrize("text, forms", [
     ("4845168114407329 7536784127813050", ["4845168114407329"]), ("7536784127813050 4845168114407329 1234", ["4845168114407329"]),
     ("+1 (017) 555-7713 97.51.17.173 4845168114407329", ["+10175557713", "97.51.17.173", "4845168114407329"]),
