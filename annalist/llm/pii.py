@@ -34,7 +34,7 @@ _CAPITAL = regex.compile(rf"(?<!\p{{L}}){_CAP}").finditer
 _JOINTS = regex.compile(r"(['’-])").split
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=[\"'=: ])(?=[A-Za-z_-]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_-][0-9A-Za-z_-]{16,})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xoxb)[_-][0-9A-Za-z_-]{16,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
