@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from annalist.llm.common import discard, pick, prepare, store, words_of
 from annalist.llm.graph import components
@@ -139,6 +138,11 @@ def grouped(batches: Iterator[pa.RecordBatch], key: Callable[[dict], tuple]) ->
         yield now, held
 
 
+def text_key(text: Column) -> Column:
+    """A hash of a text; null and empty texts have one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block_grams: int = 300_000,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: its class, and how many other rows have a Jaccard similarity of at least ``threshold`` with it.
@@ -155,9 +159,19 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 
     Returns doc_id, class_id (the smallest doc_id of its class, its own for a class of one), n_links.
     """
+    sketches, sets = _classed(docs, n, threshold, recall, block_grams, id_col, text_col)
+    return sketches.select("doc_id", "set_key").join(sets.select("set_key", "class_id", "n_links"), "set_key", "left").select(
+        "doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block_grams: int = 300_000,
+             id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of ``join``: every row's doc_id, text_key and set_key (null without n-grams); every set's set_key, group (equal
+    within a class), class_id and n_links."""
     spark = prepare(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
-    named = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
+        "text_key", text_key(F.col("text")))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minhash = Shingles(n), MinHash(bands, rows)
@@ -170,10 +184,10 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
                     keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                     hashes.append(minhash(grams) if len(grams) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["doc_id", "set_key", "grams", "bands"])
+                    [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "set_key", "grams", "bands"])
 
-    sketches = store(named.mapInArrow(sketched, "doc_id long, set_key binary, grams long, bands array<long>"), "sketch")
+    sketches = store(named.mapInArrow(sketched, "doc_id long, text_key binary, set_key binary, grams long, bands array<long>"), "sketch")
     sets = store(
         sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
             F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
@@ -230,22 +244,28 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     classed = sets.select("set", "set_key", "least", "copies").join(links, "set", "left").join(roots, "set", "left")
     ids = classed.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
     named_sets = classed.join(ids, "root", "left").select(
-        "set_key", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("class_id"),
+        "set_key", F.coalesce("root", "set").alias("group"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketches.select("doc_id", "set_key").join(named_sets, "set_key", "left").select(
-        "doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return sketches, named_sets
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """``docs`` without the rows whose id is not their class's smallest. Rows without an id or without words stay; of
-    rows equal in id and text one stays."""
-    found = join(docs, id_col=id_col, text_col=text_col, **options)  # type: ignore[arg-type]
-    dropped = found.where("class_id IS NOT NULL AND doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one row of each class, one of its smallest id, and beside it, of the rows of the class without an id,
+    one. Rows without words are in no class and stay; of rows equal in id (also null) and text one stays.
+
+    Rows are told apart by id and text: of equal ids with different texts each has the fate of its own class.
+    """
+    sketches, sets = _classed(docs, id_col=id_col, text_col=text_col, **options)  # type: ignore[arg-type]
+    noid = F.col("doc_id").isNull().alias("noid")
+    first = F.min(F.struct("doc_id", "set_key", "text_key")).alias("first")
+    chosen = sketches.join(sets.select("set_key", "group"), "set_key").groupBy("group", noid).agg(first).select("first.doc_id", "first.text_key")
+    stays = chosen.unionByName(sketches.where("set_key IS NULL").select("doc_id", "text_key").distinct()).select(
+        noid.alias("_noid"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("text_key").alias("_key"))
     columns = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(columns))))
-    key, text = f"_{columns.index(id_col)}", f"_{columns.index(text_col)}"
-    named = plain.where(F.col(key).isNotNull())  # rows without an id would all meet in one task
-    left = named.join(dropped, F.col(key) == F.col("_gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(key, F.sha2(F.coalesce(text, F.lit("")), 256)).orderBy(key))
-    kept = left.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return kept.unionByName(plain.where(F.col(key).isNull())).toDF(*columns)
+    key, text = F.col(f"_{columns.index(id_col)}").cast("long"), F.col(f"_{columns.index(text_col)}")
+    # Equal rows are combined before the shuffle, so many copies without an id are no hot key.
+    one = plain.groupBy(key.isNull().alias("_noid"), F.coalesce(key, F.lit(0).cast("long")).alias("_id"), text_key(text).alias("_key")).agg(
+        F.first(F.struct(*plain.columns)).alias("_row"))
+    return one.join(stays, ["_noid", "_id", "_key"], "left_semi").select("_row.*").toDF(*columns)

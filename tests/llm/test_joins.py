@@ -83,6 +83,19 @@ def test_keep_one(spark):
     assert jaccard.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    # id 7: a copy of class 1, a text of its own, and the representative of a class with id 9.
+    data = [(1, a), (7, a + " x"), (7, b), (7, c), (9, c + " x"), (None, a), (None, a), (None, a + " x"), (None, "lone text"), (None, "lone text"), (None, None), (None, None)]
+    left = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    named = sorted(tuple(r) for r in left if r["doc_id"] is not None)
+    assert named == [(1, a), (7, b), (7, c)]
+    loose = [r["text"] for r in left if r["doc_id"] is None]
+    assert len(loose) == 3 and {None, "lone text"} < set(loose) and set(loose) & {a, a + " x"}
+    copies = [(None, a)] * 50 + [(None, b)] * 50
+    assert sorted(r["text"] for r in jaccard.keep_one(spark.createDataFrame(copies, "doc_id long, text string")).collect()) == [a, b]
+
+
 def vectors(seed, dims=20):
     rng = np.random.default_rng(seed)
     out = []
