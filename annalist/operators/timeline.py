@@ -260,19 +260,20 @@ def person_list(persons: DataFrame, aliases: DataFrame, events: DataFrame, q: st
 
 
 def parser_config(c: Column) -> Column:
-    """Discovery settings from their JSON text; invalid text gives the defaults."""
+    """Discovery settings from their JSON text; invalid text gives the defaults. Missing pages and depth are null: no limit."""
     parsed = F.from_json(
         c, "discovery_enabled boolean, discovery_max_pages int, discovery_max_depth int, discovery_allowed_hosts array<string>")
     return F.struct(
         F.coalesce(parsed["discovery_enabled"], F.lit(False)).alias("discovery_enabled"),
-        F.coalesce(parsed["discovery_max_pages"], F.lit(12)).alias("discovery_max_pages"),
-        F.coalesce(parsed["discovery_max_depth"], F.lit(1)).alias("discovery_max_depth"),
+        parsed["discovery_max_pages"].alias("discovery_max_pages"),
+        parsed["discovery_max_depth"].alias("discovery_max_depth"),
         F.coalesce(parsed["discovery_allowed_hosts"], F.array().cast("array<string>")).alias("discovery_allowed_hosts"),
     )
 
 
 def source_list(sources: DataFrame, documents: DataFrame, source_persons: DataFrame) -> DataFrame:
-    """Live sources, newest id first, with document count, linked persons and discovery settings."""
+    """Live sources, newest id first, with document count, linked persons and discovery settings. Missing pages and depth
+    are shown as a small installation's."""
     counts = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("document_count"))
     linked = source_persons.groupBy("source_id").agg(F.count(F.lit(1)).alias("person_count"))
     return (
@@ -281,7 +282,8 @@ def source_list(sources: DataFrame, documents: DataFrame, source_persons: DataFr
         .select("source_id", "name", "type", "enabled",
                 F.coalesce("document_count", F.lit(0)).alias("document_count"),
                 F.coalesce("person_count", F.lit(0)).alias("person_count"), "cfg.discovery_enabled",
-                "cfg.discovery_max_pages", "cfg.discovery_max_depth",
+                F.coalesce("cfg.discovery_max_pages", F.lit(vocab.SMALL.unset_pages)).alias("discovery_max_pages"),
+                F.coalesce("cfg.discovery_max_depth", F.lit(vocab.SMALL.unset_depth)).alias("discovery_max_depth"),
                 F.when(F.col("cfg.discovery_enabled"), "website").otherwise(F.col("type")).alias("display_type"))
         .orderBy(F.col("source_id").desc())
     )

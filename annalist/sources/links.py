@@ -25,16 +25,19 @@ def _least(*columns: Column) -> Column:
 def discovery_roots(sources: DataFrame, max_items: int | None = None, limits: vocab.Limits = vocab.ALL) -> DataFrame:
     """Root URL, allowed hosts, pages and depth of every discovery source (source_id, entry_url, parser_config).
 
-    Pages and depth are those of the source's own configuration; ``limits`` may lower them further.
+    Pages and depth are those of the source's own configuration, null (no limit) where it has none; ``limits`` may set
+    missing ones and lower them further.
     """
     cfg = F.col("cfg")
     per_item = None if max_items is None or limits.pages_per_item is None else max(3, max_items * limits.pages_per_item)
     rows = sources.select("source_id", urls.canonical_url(F.col("entry_url")).alias("root_url"), parser_config(F.col("parser_config")).alias("cfg"))
+    pages = F.coalesce(cfg["discovery_max_pages"], F.lit(limits.unset_pages).cast("int"))
+    depth = F.coalesce(cfg["discovery_max_depth"], F.lit(limits.unset_depth).cast("int"))
     given = F.filter(F.transform(cfg["discovery_allowed_hosts"], lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), "^[\\s.]+|[\\s.]+$", "")), lambda h: h != "")
     return rows.where(cfg["discovery_enabled"]).select(
         "source_id", "root_url", F.when(F.size(given) > 0, given).otherwise(urls.allowed_hosts(urls.host(F.col("root_url")))).alias("hosts"),
-        _least(cfg["discovery_max_pages"], *_known(limits.pages), *_known(per_item)).alias("max_pages"),
-        _least(F.greatest(cfg["discovery_max_depth"], F.lit(0)), *_known(limits.depth)).alias("max_depth"))
+        _least(pages, *_known(limits.pages), *_known(per_item)).alias("max_pages"),
+        _least(F.when(depth.isNotNull(), F.greatest(depth, F.lit(0))), *_known(limits.depth)).alias("max_depth"))
 
 
 def same_site_links(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -86,8 +89,11 @@ def discover_candidates(roots: DataFrame, links: DataFrame, terms: DataFrame, ma
 def walked_pages(roots: DataFrame, site: DataFrame) -> DataFrame:
     """The pages that a walk reads (source_id, page_url, depth, place): level by level, in the order of discovery.
 
-    ``site`` are same-site links with ``hit`` and ``is_navigation``.
+    ``site`` are same-site links with ``hit`` and ``is_navigation``. Null pages or depth of a source are no limit.
     """
+    def within(place: str) -> Column:
+        return F.col("max_pages").isNull() | (F.col(place) <= F.col("max_pages"))
+
     order = W.partitionBy("source_id").orderBy("parent", "link_idx")
     follow = site.where(~F.col("hit") & F.col("is_navigation"))
     level = roots.select("source_id", F.col("root_url").alias("page_url"), F.lit(0).alias("depth"),
@@ -95,10 +101,10 @@ def walked_pages(roots: DataFrame, site: DataFrame) -> DataFrame:
     pages, depth = None, 0
     while True:
         # no page behind the page count is ever read, so a level needs at most that many
-        level = cut_lineage(level.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= F.col("max_pages")))
+        level = cut_lineage(level.withColumn("nr", F.row_number().over(order)).where(within("nr")))
         pages = level if pages is None else pages.unionByName(level)
         depth += 1
-        deeper = level.where(F.col("depth") < F.col("max_depth"))
+        deeper = level.where(F.col("max_depth").isNull() | (F.col("depth") < F.col("max_depth")))
         if deeper.isEmpty():
             break
         found = deeper.select("source_id", "page_url", "max_depth", "max_pages", F.col("nr").alias("parent")).join(follow, ["source_id", "page_url"])
@@ -107,7 +113,7 @@ def walked_pages(roots: DataFrame, site: DataFrame) -> DataFrame:
                              F.col("at.link_idx").alias("link_idx"), "max_depth", "max_pages").join(
             pages.select("source_id", "page_url"), ["source_id", "page_url"], "left_anti")
     walk = W.partitionBy("source_id").orderBy("depth", "nr")
-    return pages.withColumn("place", F.row_number().over(walk)).where(F.col("place") <= F.col("max_pages"))
+    return pages.withColumn("place", F.row_number().over(walk)).where(within("place"))
 
 
 def search_term(terms: DataFrame) -> DataFrame:

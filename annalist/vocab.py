@@ -164,6 +164,8 @@ class Limits:
     audit: int | None = None
     pages: int | None = None
     depth: int | None = None
+    unset_pages: int | None = None
+    unset_depth: int | None = None
     pages_per_item: int | None = None
     candidates_per_item: int | None = None
     batch_events: int | None = None
@@ -173,7 +175,7 @@ ALL = Limits()
 # fixed values: the limits of a small installation, for those who want its results
 SMALL = Limits(key=80, similar=240, dated=5000, relevant=4000, framed=800, aggregated=1200, title=500, author=200, language=30,
                summary=500, evidence=1000, stored_summary=2000, stored_evidence=2000, place=300, quote=2000, zone=50, report=300,
-               snippet=300, error=500, audit=1000, pages=50, depth=2, pages_per_item=3, candidates_per_item=4, batch_events=100)
+               snippet=300, error=500, audit=1000, pages=50, depth=2, unset_pages=12, unset_depth=1, pages_per_item=3, candidates_per_item=4, batch_events=100)
 
 
 @dataclass(frozen=True)

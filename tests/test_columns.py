@@ -75,6 +75,23 @@ def test_configured_hosts_lose_their_dots(spark):
     assert (small.max_pages, small.max_depth) == (30, 2)
 
 
+def test_unset_pages_and_depth_are_no_limit(spark):
+    """A chain of 5 levels with 20 pages on its first: an article behind each is found, but a small installation stops early."""
+    top, nav, art = "https://www.example.org/", "https://www.example.org/list/{}/", "https://www.example.org/a/{}.html"
+    links = [(1, top, k, nav.format(k), "list") for k in range(20)] + [(1, nav.format(k), 0, art.format(k), "term") for k in range(24)]
+    links += [(1, nav.format(19 + k), 1, nav.format(20 + k), "list") for k in range(4)] + [(1, nav.format(23), 1, nav.format(0), "list")]
+    links = spark.createDataFrame(links, "source_id long, page_url string, link_idx int, href string, text string")
+    terms = spark.createDataFrame([(1, "term")], "source_id long, term string")
+    source = spark.createDataFrame([(1, top, '{"discovery_enabled":true}')], "source_id long, entry_url string, parser_config string")
+
+    def found(limits):
+        roots = lk.discovery_roots(source, None, limits)
+        return {r["url"] for r in lk.discover_candidates(roots, links, terms, limits=limits).collect()}
+
+    assert found(vocab.ALL) == {art.format(k) for k in range(24)}
+    assert found(vocab.SMALL) == {art.format(k) for k in range(11)}
+
+
 def test_bound_never_hides_a_match():
     import random
     from difflib import SequenceMatcher
