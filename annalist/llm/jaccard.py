@@ -143,6 +143,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def fetched(named: DataFrame, members: DataFrame) -> DataFrame:
+    """The text of every member, by id and text, so that rows of one id, or of none, do not meet all sets of it."""
+    found = F.col("_doc").eqNullSafe(F.col("least")) & (F.col("_text") == F.col("text_key"))
+    return named.withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"}).join(members, found).select("cluster", "set", "copies", "set_key", "text")
+
+
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block_grams: int = 300_000,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: its class, and how many other rows have a Jaccard similarity of at least ``threshold`` with it.
@@ -190,7 +196,8 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     sketches = store(named.mapInArrow(sketched, "doc_id long, text_key binary, set_key binary, grams long, bands array<long>"), "sketch")
     sets = store(
         sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
-            F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+        .select("set_key", F.col("at.doc_id").alias("least"), F.col("at.text_key").alias("text_key"), "copies", "grams", "bands")
         .withColumn("set", F.monotonically_increasing_id()), "sets")
 
     # Star of each bucket around its least set.
@@ -198,11 +205,11 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     shared = buckets.groupBy("bucket").agg(F.min("set").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     stars = buckets.join(shared, "bucket").where("set <> b").select(F.col("set").alias("a"), "b")
     clusters = components(stars).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
-    members = store(sets.select("set", "set_key", "least", "copies", "grams").join(clusters, "set"), "members")
+    members = store(sets.select("set", "set_key", "least", "text_key", "copies", "grams").join(clusters, "set"), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("grams") / block_grams).cast("long").alias("blocks"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams of members; of the rows with a member's id, those of its set."""
+        """The n-grams of members. A row of another set, if hashes of texts should ever meet, is left out."""
         shingles = Shingles(n)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -213,8 +220,7 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
                 yield whole.filter(pa.array([bool(s) for s in same], pa.bool_()))
 
     # Always by a shuffle of the texts: a join whose way depends on the number of members costs another way at each size.
-    texts = named.withColumnRenamed("doc_id", "_doc").join(members.hint("merge"), F.col("_doc").eqNullSafe(F.col("least"))).select("cluster", "set", "copies", "set_key", "text")
-    held = texts.mapInArrow(rebuilt, "cluster long, set long, copies long, held binary").join(blocks, "cluster")
+    held = fetched(named, members.hint("merge")).mapInArrow(rebuilt, "cluster long, set long, copies long, held binary").join(blocks, "cluster")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks"))
     dealt = held.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "_mine", "set", "copies", "held")

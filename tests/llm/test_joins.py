@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.llm import embeddings, graph, jaccard
 
@@ -96,6 +97,23 @@ def test_keep_one_tells_rows_of_an_id_apart(spark):
     assert sorted(r["text"] for r in jaccard.keep_one(spark.createDataFrame(copies, "doc_id long, text string")).collect()) == [a, b]
 
 
+def test_each_set_fetches_its_own_text(spark):
+    """100 rows without an id and 100 of one id: as many texts as sets, not their product."""
+    texts = [(None if k < 100 else 5, f"text {k}") for k in range(200)]
+    named = spark.createDataFrame(texts, "doc_id long, text string").withColumn("text_key", jaccard.text_key(F.col("text")))
+    members = named.select(F.col("doc_id").alias("least"), "text_key", F.lit(0).alias("cluster"), F.xxhash64("text").alias("set"),
+                           F.lit(1).alias("copies"), F.col("text_key").alias("set_key"))
+    got = [(r["set"], r["text"]) for r in jaccard.fetched(named, members).select("set", "text").collect()]
+    assert len(got) == 200 == len(set(got)) and {t for _, t in got} == {t for _, t in texts}
+
+
+def test_jaccard_without_ids(spark):
+    """Near pairs of rows without an id, or of one id, each in a class of its own."""
+    rows = [(i, " ".join(f"{i}w{k}x{j}" for j in range(60)) + tail) for i in (None, 5) for k in range(30) for tail in ("", " tail")]
+    got = sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(None, None, 1)] * 60 + [(5, 5, 1)] * 60, key=str)
+
+
 def vectors(seed, dims=20):
     rng = np.random.default_rng(seed)
     out = []
