@@ -57,4 +57,27 @@ SELECT page_id, payload_bytes::BIGINT payload_bytes, payload_digest, CASE WHEN p
   CASE WHEN page_id <> first THEN first END refers_to FROM named
 """
 
-SQL = {"op3_embeddings": EMBEDDINGS, "op4_sharding": SHARDING, "op8_jaccard": JACCARD, "op10_warc": WARC}
+# Each item's best documents, by terms counted in whole numbers.
+SEARCH = r"""
+WITH t AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+q AS (SELECT item_id, term, count(*) k FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term FROM benchmark) GROUP BY 1, 2),
+g AS (SELECT count(*) n_docs, sum(len(w))::BIGINT len_all FROM t WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) tf FROM (SELECT r, unnest(w) term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT w FROM tf, g GROUP BY term, n_docs),
+part AS (SELECT r, term, weight.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(t.w) * n_docs) // len_all))) s FROM tf JOIN t USING (r) JOIN weight USING (term), g),
+score AS (SELECT item_id, r, sum(k * s)::BIGINT score FROM q JOIN part USING (term) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score JOIN t USING (r) WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+# Windows of twenty words that start earlier elsewhere, and the words outside them.
+WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+wins AS (SELECT r, doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) k FROM d)),
+cover AS (SELECT DISTINCT r, unnest(range(k, k + 20)) i FROM (SELECT r, k, rank() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, k) n FROM wins) WHERE n > 1),
+word AS (SELECT r, unnest(w) x, generate_subscripts(w, 1) i FROM d),
+rest AS (SELECT r, count(*) n, string_agg(x, ' ' ORDER BY i) kept FROM word ANTI JOIN cover USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, (len(w) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN rest USING (r)
+"""
+
+SQL = {"op3_embeddings": EMBEDDINGS, "op4_sharding": SHARDING, "op8_jaccard": JACCARD, "op10_warc": WARC, "op11_search": SEARCH, "op13_windows": WINDOWS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, embeddings, jaccard, mixing, oracles, pii, quality, sharding, substrings, tokenfile, warc, windows
+from annalist.llm import bpe, embeddings, jaccard, lexical, mixing, oracles, pii, quality, sharding, substrings, tokenfile, warc, windows
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -88,3 +88,8 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
     cut = windows.dedup(table(spark, folder, "documents"), 20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)
