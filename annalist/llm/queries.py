@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, embeddings, jaccard, lexical, mixing, oracles, pii, quality, sharding, substrings, tokenfile, warc, windows
+from annalist.llm import align, bpe, embeddings, jaccard, lexical, mixing, oracles, pii, quality, sharding, substrings, tokenfile, warc, windows
 
 #: A public vocabulary: BPE with word ends, 49,408 ids.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -93,3 +93,9 @@ def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)
+
+
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.score(pairs)
