@@ -5,46 +5,49 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import pick, prepare, words_of
+from annalist.llm.common import pick, prepare, slices, words_of
 
 #: Texts with a run of this many characters without white space are cut there and joined again.
 PIECE = 2048
-#: Entries of a worker's tables of known words; a table starts anew when full.
-KNOWN = 300_000
+#: Entries, and bytes (estimated), of a worker's table of known words; it starts anew when full, and ends with its task.
+KNOWN, TABLE_BYTES = 300_000, 48 << 20
+#: Words whose ids are gathered together.
+TOGETHER = 1 << 17
 #: Fixed value: how vocabularies of this kind split a text into words.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Letters that lower one to one and stand alone in every normal form, then marks of which no added token is made.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@\[\]^_`{}~-]*)").fullmatch
+#: Letters that lower one to one and stand alone in every normal form, and marks of which no added token is made.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!#$%&()*+,./:;=?@[]^_`{}~-"
 
 
-class Words(dict):
-    """Word -> number; an unknown word gets the next number and waits in ``fresh`` to be encoded."""
+class Column:
+    """A growing array."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[bytes] = []
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.zeros(1 << 12, kind), 0
 
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        self[word] = number = len(self)
-        return number
+    def extend(self, values: list[int]) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(self.n + len(values), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Encoder:
     """The library's tokenizer behind a table of words.
 
     White space never takes part in a token of this kind of vocabulary, and no normalisation step reaches across it,
-    so a text's ids are those of its words in turn. Each distinct word goes to the library once per table.
+    so a text's ids are those of its words in turn. Words are split and told apart in Arrow; each different run of
+    letters, of marks, or other word goes to the library once per table.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,63 +77,84 @@ class Encoder:
         self.shown = dict(zip(shown, shown)) | {b: 256 + k for k, b in enumerate(hidden)}
         lowers = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.simple = lowers and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
-        self.runs: dict[str, bytes] = {}
-        self._reset()
-
-    def _run(self, run: str) -> bytes:
-        """The ids of a run that the library leaves in one piece, as little-endian unsigned 32-bit numbers."""
-        if (found := self.runs.get(run)) is None:
-            if len(self.runs) > KNOWN:
-                self.runs.clear()
-            ids = [t.id for t in self.closing.tokenize(run.encode().decode("latin-1").translate(self.shown))]
-            found = self.runs[run] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def _reset(self) -> None:
-        self.words = Words()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.known = 0
-
-    def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        found: list[bytes | None] = []
-        for raw in fresh:
-            plain = PLAIN(raw.decode()) if self.simple else None
-            found.append(self._run(plain[1].lower()) + (self._run(plain[2]) if plain[2] else b"") if plain else None)
-        other = [k for k, ids in enumerate(found) if ids is None]
-        for lo in range(0, len(other), 20_000):
-            some = other[lo : lo + 20_000]
-            for k, e in zip(some, self.library.encode_batch([fresh[k].decode() for k in some], add_special_tokens=False)):
-                found[k] = np.array(e.ids, "<u4").tobytes()
-        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = int(self.ends[self.known - 1]) if self.known else 0
-        total = start + int(count.sum())
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), np.uint32)])
-        if self.known + len(fresh) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(fresh), np.int64)])
-        self.flat[start:total] = np.frombuffer(b"".join(found), "<u4")
-        self.ends[self.known : self.known + len(fresh)] = start + count.cumsum()
-        self.known += len(fresh)
-
-    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
-        """The ids of each text; null: none. For texts without very long words."""
-        # Bytes split at the six characters of white space that are ASCII, and at nothing else.
-        words = [(t.encode() if isinstance(t, str) else t or b"").split() for t in texts]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
-        if self.words.fresh:
-            self._learn()
-        ends = self.ends[numbers]
-        starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
-        count = ends - starts
-        after = count.cumsum()
-        ids = self.flat[np.repeat(starts - after + count, count) + np.arange(after[-1] if len(after) else 0)]
-        bounds = np.concatenate([[0], after])[np.concatenate([[0], size.cumsum()])]
-        if len(self.words) > KNOWN:
-            self._reset()
-        return [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all words."""
+        #: Runs of characters that the library leaves in one piece, and words behind a blank; run 0 has no ids.
+        self.runs: dict[str, int] = {"": 0}
+        self.flat, self.ends = Column(np.uint32), Column(np.int64)
+        self.ends.extend([0])
+        self.weight = 0
+
+    def _numbers(self, runs: list[str], whole: bool = False) -> np.ndarray:
+        """The numbers of different runs, or of whole words, after new ones are encoded."""
+        known = self.runs
+        keys = [" " + r for r in runs] if whole else runs
+        fresh = [k for k in keys if k not in known]
+        if fresh:
+            flat: list[int] = []
+            ends: list[int] = []
+            base = self.flat.n
+            if whole:
+                for e in self.library.encode_batch([k[1:] for k in fresh], add_special_tokens=False):
+                    flat.extend(e.ids)
+                    ends.append(base + len(flat))
+            else:
+                merge, shown = self.closing.tokenize, self.shown
+                for k in fresh:
+                    flat.extend([t.id for t in merge(k if k.isascii() else k.encode().decode("latin-1").translate(shown))])
+                    ends.append(base + len(flat))
+            known.update(zip(fresh, range(self.ends.n, self.ends.n + len(fresh))))
+            self.flat.extend(flat)
+            self.ends.extend(ends)
+            self.weight += sum(map(len, fresh)) + 180 * len(fresh) + 4 * len(flat)
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def _runs_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of different words: the numbers of one or two runs each."""
+        one, two = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = np.zeros(len(words), bool)
+        if self.simple:
+            letters = pc.utf8_rtrim(words, characters=MARKS)
+            plain = pc.match_substring_regex(letters, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+            marked = np.flatnonzero(plain & (pc.binary_length(words).to_numpy() > pc.binary_length(letters).to_numpy()))
+            for into, at, runs in ((one, np.flatnonzero(plain), pc.utf8_lower(letters.filter(pa.array(plain)))),
+                                   (two, marked, pc.replace_substring_regex(words.take(pa.array(marked)), f"^[{LETTERS}]+", ""))):
+                coded = runs.dictionary_encode()
+                if len(at):
+                    into[at] = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        other = np.flatnonzero(~plain & (pc.binary_length(words).to_numpy() > 0))
+        for lo in range(0, len(other), 5_000):
+            some = other[lo : lo + 5_000]
+            one[some] = self._numbers(words.take(pa.array(some)).to_pylist(), True)
+        return one, two
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null: none. For texts without very long words. Only different words leave Arrow."""
+        if self.weight > TABLE_BYTES or len(self.runs) > KNOWN:
+            self.reset()
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # White space is the six characters that are ASCII, and nothing else.
+        words = pc.ascii_split_whitespace(column.fill_null(""))
+        size = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        one, two = self._runs_of(coded.dictionary)
+        numbers = coded.indices.to_numpy()
+        lengths = np.diff(self.ends.held[: self.ends.n], prepend=0)
+        bounds = np.concatenate([[0], (lengths[one] + lengths[two])[numbers].cumsum()])
+        ids = np.empty(bounds[-1], np.uint32)
+        for lo in range(0, len(numbers), TOGETHER):
+            some = numbers[lo : lo + TOGETHER]
+            run = np.empty(2 * len(some), np.int64)
+            run[::2], run[1::2] = one[some], two[some]
+            run = run[run > 0]
+            count = lengths[run]
+            after = count.cumsum()
+            at = np.repeat(self.ends.held[run] - after, count) + np.arange(after[-1] if len(after) else 0)
+            ids[bounds[lo] : bounds[lo + len(some)]] = self.flat.held[at]
+        ends = bounds[np.concatenate([[0], size.cumsum()])]
+        return [ids[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
 
     # Long unsplit text.
 
@@ -181,8 +205,11 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def tokens_of(path: str) -> list[str]:
-    enc = encoder(path)
-    return [enc.token_of.get(i, "") for i in range(enc.size)]
+    """Each id's token, from the file alone."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    token_of = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+    return [token_of.get(i, "") for i in range(max(token_of) + 1)]
 
 
 def decode(ids: np.ndarray, path: str) -> str:
@@ -215,10 +242,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def simple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [x.astype("<u4").tobytes() for x in enc.encode(part.column("text").cast(pa.binary()).to_pylist())]
+        try:
+            for part in chain.from_iterable(map(slices, batches)):
+                ids = [x.astype("<u4").tobytes() for x in enc.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        finally:
+            enc.reset()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of a text in order: ids that are ready, or one piece of a long word."""
@@ -310,7 +339,7 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(encoder(vocabulary).size)]
+        decimal = [str(i) for i in range(len(tokens_of(vocabulary)))]
         for batch in batches:
             count, of_ids, of_text = [], [], []
             for raw in batch.column("ids").to_pylist():
@@ -330,7 +359,7 @@ def opened(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, "ids"):
                 rows = [np.frombuffer(raw, "<u4") for raw in part.column("ids").to_pylist()]
                 flat = np.concatenate(rows).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)

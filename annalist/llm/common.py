@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +80,16 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     body = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return body[offs[0] : offs[-1]], offs - offs[0]
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and ``size`` bytes in ``column``, but for a longer row alone."""
+    lengths = np.diff(utf8(batch.column(column))[1])
+    lo = weight = 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > lo and (k - lo >= rows or weight + n > size):
+            yield batch.slice(lo, k - lo)
+            lo, weight = k, 0
+        weight += n
+    if batch.num_rows:
+        yield batch.slice(lo)

@@ -33,8 +33,8 @@ def bands_for(threshold: float, recall: float, most_hashes: int = 256) -> tuple[
 class Shingles:
     """Sets of hashed word n-grams. A text of fewer than n words, but one at least, has one n-gram of all its words."""
 
-    def __init__(self, n: int, known: int = 300_000) -> None:
-        self.n, self.known = n, known
+    def __init__(self, n: int, table_bytes: int = 16 << 20) -> None:
+        self.n, self.table_bytes, self.weight = n, table_bytes, 0
         self.hash_of: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -42,10 +42,12 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         table = self.hash_of
-        if len(table) > self.known:
+        if self.weight > self.table_bytes:
             table.clear()
+            self.weight = 0
         for word in set(words).difference(table):
             table[word] = xxhash.xxh64_intdigest(word)
+            self.weight += 170 + 2 * len(word)
         hashed = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))
         out = np.full(len(words) - n + 1, np.uint64(n))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_sample, pick, prepare, words_of
+from annalist.llm.common import bounded_sample, pick, prepare, slices, words_of
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -211,8 +211,9 @@ def keep(docs: DataFrame, forest: Forest | None, poor_above: float = 0.7, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(verdict(found, forest, poor_above)[6])
+            for part in slices(batch, at, 512):
+                found = [statistics(t) for t in part.column(at).to_pylist()]
+                yield part.filter(verdict(found, forest, poor_above)[6])
 
     plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

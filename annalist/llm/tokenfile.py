@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalist.llm.bpe import encoder
-from annalist.llm.common import discard, new_folder, pick, prepare, store
+from annalist.llm.common import discard, new_folder, pick, prepare, slices, store
 
 PRECISION = 20
 LOW = np.uint64(1 << 31)
@@ -236,8 +236,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
         counts = np.zeros(max(enc.size, end_id + 1), np.int64)
         small = len(counts) <= 1 << 16
         for batch in batches:
-            for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(piece.column("text").cast(pa.binary()).to_pylist())]
+            for piece in slices(batch):
+                found = [np.append(ids, np.uint32(end_id)) for ids in enc.encode(piece.column("text"))]
                 counts += np.bincount(np.concatenate(found), minlength=len(counts))
                 raw = [ids.astype("<u2" if small else "<u4").tobytes() for ids in found]
                 n = len(raw)
@@ -245,6 +245,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
                     [pa.array([part] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), piece.column("doc_id"), pa.array(raw, pa.binary())],
                     ["part", "place", "doc_id", "ids"])
                 place += n
+        enc.reset()
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()),
