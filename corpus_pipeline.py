@@ -22,15 +22,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs)
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[str], str]]:
+    """``docs`` with columns named by their place, these names, and the one of a column of documents."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, lambda column: names[docs.columns.index(column)]
+
+
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced; n_chars follows."""
-    new = pii.replace(docs, SURROGATE_KEY).drop("n_entities")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data in texts is replaced; n_chars follows. All columns stay, whatever their names."""
+    plain, names, at = by_place(docs)
+    new = pii.replace(plain, SURROGATE_KEY, text_col=at("text"))
+    if "n_chars" in docs.columns:
+        new = new.withColumn(at("n_chars"), F.length(at("text")).cast(docs.schema[docs.columns.index("n_chars")].dataType))
+    return new.select(*names).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: a document comes as often as it is drawn, shards together, in a random order."""
-    return mixing.shuffled(mixing.mix(docs, carry=("lang", "n_chars", "text"))).select(*docs.columns)
+    """Sources mixed to their targets: a document comes as often as it is drawn, shards together, in a random order.
+    All columns stay, whatever their names."""
+    plain, names, at = by_place(docs)
+    planned = mixing.mix(plain, id_col=at("doc_id"), text_col=at("text"), source_col=at("source"), carry=tuple(names))
+    return mixing.shuffled(planned).select(*names).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_ids", token_ids),
 ]
 
-#: Trees, MinHash and keyed hashes have no SQL form; the tests hold each stage against brute force.
+#: Trees, MinHash and keyed hashes have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
