@@ -8,24 +8,32 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import pick, prepare, store
+from annalist.llm.common import pick, prepare, slices, store
 
-#: Characters whose tokens are aligned at once, and bytes that a worker's table of known units may take.
-SLICE, TABLE_BYTES = 1 << 20, 24 << 20
+#: Units whose tokens are aligned at once, and bytes (estimated) that a worker's table of known units may take.
+SLICE, TABLE_BYTES = 1 << 18, 48 << 20
 #: Tokens of a block of documents, entries that are summed at once, and links of a group that are listed one by one.
 BLOCK, TOGETHER, LISTED = 2_000_000, 4_000_000, 4096
 #: Ids are dealt by their remainder.
 BUCKETS = 1024
-#: A unit starts with a blank that follows no white space. No match of the first tokenizer's pattern has white space
-#: after another character, and no piece of the second has a blank behind another character: neither reaches across.
-units = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*").findall
+#: A unit starts with a blank or line feed that follows no white space. No match of the first tokenizer's pattern has white
+#: space after another character, and no piece of the second has a blank or line feed behind another character.
+units = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*").findall
+#: Texts whose every blank and line feed starts a unit need no pattern. Fixed value: white space, also beyond ASCII.
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ODD = rf"{SPACE}[ \n]|^[ \n]|[ \n]$"
+#: Letters that the first tokenizer's pattern leaves in one match, and marks that follow them as units of their own.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!#$%&()*+,./:;=?@[]^_`{}~-"
+plain = re.compile(f"[{LETTERS}]+").fullmatch
 MARK = np.uint32(1 << 31)
 
 
@@ -36,6 +44,7 @@ class Pair:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
@@ -45,73 +54,119 @@ class Pair:
             spec = json.load(file)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level vocabulary without normalizer is needed")
+        model = spec["model"]
+        self.merge = BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]).tokenize
         # The library writes each byte as a character: printable ones as themselves, the others from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        spelled = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+        self.shown = {b: c for c, b in byte_of.items()}
+        spelled = {i: bytes(byte_of[c] for c in t) for t, i in model["vocab"].items()}
         spelled |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
         self.a_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("pieces with a blank behind another character join units")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+            raise ValueError("pieces with white space behind another character join units")
+        mixed = " ".join(p for p in pieces if re.search(f"[{LETTERS}][{re.escape(MARKS)}]", p))
+        self.marks = "".join(m for m in MARKS if not re.search(f"[{LETTERS}]{re.escape(m)}", mixed))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.blank = [self.b.piece_to_id("▁")]
+        self.blank, self.line = [self.b.piece_to_id("▁")], self.a.encode("\n").ids
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        #: A unit begins with its white space; marks that follow letters begin with none. Unit 0 is empty.
+        self.number: dict[str, int] = {"": 0}
         self.weight = 0
         self.flat = [np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.uint32)]
-        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.sound = np.zeros(0, bool)
-
-    def learn(self, fresh: list[str]) -> None:
-        found_a: list[list[int]] = []
-        for lo in range(0, len(fresh), 4096):
-            found_a += [e.ids for e in self.a.encode_batch(fresh[lo : lo + 4096], add_special_tokens=False)]
-        # A blank is put before a text by the second tokenizer, but not before an empty one.
-        found_b = [ids if len(u) > 1 else self.blank for u, ids in zip(fresh, self.b.encode([u[1:] for u in fresh], num_threads=1))]
-        sound = []
-        for u, a, b in zip(fresh, found_a, found_b):
-            raw = u.encode()
-            sound.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)))
-            self.weight += 200 + 2 * len(raw) + 4 * (len(a) + len(b))
-        self.sound = np.concatenate([self.sound, np.array(sound, bool)])
-        for side, found in enumerate((found_a, found_b)):
-            ends = self.ends[side][-1] + np.cumsum([len(x) for x in found])
-            if ends[-1] > len(self.flat[side]):
-                self.flat[side] = np.concatenate([self.flat[side], np.zeros(2 * int(ends[-1]) - len(self.flat[side]), np.uint32)])
-            self.flat[side][self.ends[side][-1] : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1] - self.ends[side][-1]))
-            self.ends[side] = np.concatenate([self.ends[side], ends])
-
-    def tokens(self, parts: list[list[str]]) -> tuple:
-        """Of parts of texts, as lists of units: ids and their number for both sides, and whether the bytes are the parts'."""
-        number, fresh = self.number, []
-        numbers = []
-        for part in parts:
-            for u in part:
-                n = number.get(u)
-                if n is None:
-                    number[u] = n = len(number)
-                    fresh.append(u)
-                numbers.append(n)
+        self.ends = [np.zeros(2, np.int64), np.zeros(2, np.int64)]
+        self.sound = np.ones(1, bool)
+
+    def _first(self, unit: str) -> list[int]:
+        if plain(unit[1:]) and unit[0] in " \n":
+            letters = unit[1:] if unit.isascii() else unit[1:].encode().decode("latin-1").translate(self.shown)
+            return [t.id for t in self.merge("Ġ" + letters)] if unit[0] == " " else self.line + [t.id for t in self.merge(letters)]
+        return self.a.encode(unit, add_special_tokens=False).ids
+
+    def _second(self, fresh: list[str]) -> list[list[int]]:
+        """The model puts a blank before what it encodes, but not before an empty text. It is cut off behind a line feed;
+        marks are encoded after a letter."""
+        sent = [u[1:] if u[0] == " " else u if u[0] == "\n" else "a" + u for u in fresh]
+        return [ids if u[0] == " " and len(u) > 1 else self.blank if u == " " else ids[1:] for u, ids in zip(fresh, self.b.encode(sent, num_threads=1))]
+
+    def _learn(self, fresh: list[str]) -> None:
+        found = [self._first(u) for u in fresh], self._second(fresh)
+        raw = [u.encode() for u in fresh]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sound = np.ones(len(fresh), bool)
+        for side, (ids, spelled, sizes) in enumerate(zip(found, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))):
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+            bound = np.concatenate([[0], count.cumsum()])
+            so_far = np.concatenate([[0], sizes[flat].cumsum()])
+            if not (np.array_equal(so_far[bound[1:]] - so_far[bound[:-1]], size) and b"".join(map(spelled.__getitem__, flat.tolist())) == b"".join(raw)):
+                sound &= np.array([b"".join(map(spelled.__getitem__, x)) == r for x, r in zip(ids, raw)])
+            old = self.ends[side][-1]
+            if old + len(flat) > len(self.flat[side]):
+                self.flat[side] = np.concatenate([self.flat[side], np.zeros(old + 2 * len(flat), np.uint32)])
+            self.flat[side][old : old + len(flat)] = flat
+            self.ends[side] = np.concatenate([self.ends[side], old + bound[1:]])
+            self.weight += 4 * len(flat)
+        self.sound = np.concatenate([self.sound, sound])
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        self.weight += 200 * len(fresh) + int(size.sum())
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        known = self.number
+        fresh = list(dict.fromkeys(k for k in keys if k not in known))
         if fresh:
-            self.learn(fresh)
-        numbers, count = np.array(numbers, np.int64), np.array([len(p) for p in parts], np.int64)
+            self._learn(fresh)
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def units_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The units of each text, behind a blank, as numbers; null and empty texts have none."""
+        if self.weight > TABLE_BYTES:
+            self.reset()
+        texts = texts.fill_null("")
+        out = [np.zeros(0, np.int64)] * len(texts)
+        some = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(some & odd):
+            out[k] = self.numbers(units(" " + texts[k].as_py()))
+        even = np.flatnonzero(some & ~odd)
+        words = pc.split_pattern(pc.replace_substring(texts.take(pa.array(even)), "\n", " \n"), " ")
+        ends = np.diff(words.offsets.to_numpy()).cumsum()
+        coded = words.flatten().dictionary_encode()
+        different, at = coded.dictionary, coded.indices.to_numpy()
+        # Marks behind letters are units of their own.
+        letters = pc.utf8_rtrim(different, characters=self.marks) if self.marks else different
+        marked = pc.binary_length(different).to_numpy() > pc.binary_length(letters).to_numpy()
+        marked &= pc.match_substring_regex(letters, f"^\n?[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        whole = pc.if_else(pa.array(marked), letters, different).to_pylist()
+        one = self.numbers([w if w[0] == "\n" else " " + w for w in whole])
+        two = np.zeros(len(one), np.int64)
+        marks = pc.replace_substring_regex(different.filter(pa.array(marked)), f"^\n?[{LETTERS}]+", "").dictionary_encode()
+        two[marked] = self.numbers(marks.dictionary.to_pylist())[marks.indices.to_numpy()]
+        both = np.empty(2 * len(at), np.int64)
+        both[::2], both[1::2] = one[at], two[at]
+        used = both > 0
+        ends = np.concatenate([[0], used.cumsum()])[2 * ends]
+        for k, part in zip(even, np.split(both[used], ends[:-1])):
+            out[k] = part
+        return out
+
+    def tokens(self, parts: list[np.ndarray]) -> tuple:
+        """Of parts of texts, as numbers of units: ids and their number for both sides, and whether the bytes are the parts'."""
+        numbers, count = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         bounds = np.concatenate([[0], count.cumsum()])
-        sound = np.add.reduceat(np.append(~self.sound[numbers], False), np.minimum(bounds[:-1], len(numbers))) == 0
-        sound |= count == 0
+        bad = np.concatenate([[0], (~self.sound[numbers]).cumsum()])
         out = []
         for side in range(2):
-            lo, hi = self.ends[side][numbers], self.ends[side][numbers + 1]
-            after = np.concatenate([[0], (hi - lo).cumsum()])
-            ids = self.flat[side][np.repeat(lo - after[:-1], hi - lo) + np.arange(after[-1])]
+            lo, n = self.ends[side][numbers], np.diff(self.ends[side])[numbers]
+            after = np.concatenate([[0], n.cumsum()])
+            ids = self.flat[side][np.repeat(lo - after[:-1], n) + np.arange(after[-1])]
             out += [ids, after[bounds[1:]] - after[bounds[:-1]]]
-        if self.weight > TABLE_BYTES:
-            self.reset()
-        return (*out, sound)
+        return (*out, bad[bounds[1:]] == bad[bounds[:-1]])
 
 
 @lru_cache(maxsize=1)
@@ -142,20 +197,17 @@ def groups(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return label[pointer[:n] - n], label[pointer[n:] - n]
 
 
-def sliced(texts: list[str | None], size: int) -> Iterator[list[tuple[int, list[str], bool]]]:
-    """Lists of (text's number, some of its units in turn, whether it ends there), about ``size`` characters each."""
-    held: list[tuple[int, list[str], bool]] = []
+def sliced(texts: list[np.ndarray], size: int) -> Iterator[list[tuple[np.ndarray, bool]]]:
+    """Lists of (some of a text's units in turn, whether it ends there), about ``size`` units each."""
+    held: list[tuple[np.ndarray, bool]] = []
     weight = 0
-    for k, text in enumerate(texts):
-        found = units(" " + text) if text else []
+    for found in texts:
         at = 0
         while True:
-            to = at
-            while to < len(found) and weight < size:
-                weight += len(found[to])
-                to += 1
-            held.append((k, found[at:to], to == len(found)))
-            at = to
+            part = found[at : at + size - weight]
+            at += len(part)
+            weight += len(part)
+            held.append((part, at == len(found)))
             if weight >= size:
                 yield held
                 held, weight = [], 0
@@ -165,21 +217,22 @@ def sliced(texts: list[str | None], size: int) -> Iterator[list[tuple[int, list[
         yield held
 
 
-def aligned(p: Pair, texts: list[str | None], size: int = SLICE) -> list[tuple[bytes, bytes]]:
+def aligned(p: Pair, texts: pa.Array | list[str | None], size: int = SLICE) -> list[tuple[bytes, bytes]]:
     """Both sides' ids of each text, 32 bits each, the last of each group marked by the highest bit."""
     out: list[tuple[bytes, bytes]] = []
     open_: list[list[bytes]] = [[], []]
     good = True
-    for parts in sliced(texts, size):
-        a, a_n, b, b_n, sound = p.tokens([part for _, part, _ in parts])
+    for parts in sliced(p.units_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())), size):
+        a, a_n, b, b_n, sound = p.tokens([part for part, _ in parts])
         # Unsound parts leave, so that both sides cover the same bytes.
-        a, b = (x[np.repeat(sound, n)] for x, n in ((a, a_n), (b, b_n)))
-        a_n, b_n = np.where(sound, a_n, 0), np.where(sound, b_n, 0)
+        if not sound.all():
+            a, b = (x[np.repeat(sound, n)] for x, n in ((a, a_n), (b, b_n)))
+            a_n, b_n = np.where(sound, a_n, 0), np.where(sound, b_n, 0)
         in_a, in_b = groups(p.a_size[a].cumsum(), p.b_size[b].cumsum())
         for ids, group in ((a, in_a), (b, in_b)):
             ids[np.append(group[1:] != group[:-1], True)[: len(group)]] |= MARK
         a_at, b_at = (np.concatenate([[0], n.cumsum()]).tolist() for n in (a_n, b_n))
-        for j, (_, part, last) in enumerate(parts):
+        for j, (_, last) in enumerate(parts):
             good = good and bool(sound[j])
             open_[0].append(a[a_at[j] : a_at[j + 1]].tobytes())
             open_[1].append(b[b_at[j] : b_at[j + 1]].tobytes())
@@ -210,8 +263,8 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
         p = pair(*map(SparkFiles.get, names))
         try:
             for batch in batches:
-                for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                    found = aligned(p, part.column("text").to_pylist())
+                for part in slices(batch):
+                    found = aligned(p, part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([f[k] for f in found], pa.binary()) for k in range(2))], ["doc_id", "a", "b"])
         finally:
             p.reset()
@@ -219,28 +272,32 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary")
 
 
-@lru_cache(maxsize=1)
-def decimals(n: int) -> list[bytes]:
-    return [b"%d" % i for i in range(n)]
+@lru_cache(maxsize=2)
+def decimals(n: int) -> np.ndarray:
+    """Each id in decimal with a comma, a bar or a semicolon behind it, filled up with zero bytes."""
+    return np.array([b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(n)])
+
+
+def sizes(ends: np.ndarray) -> np.ndarray:
+    """Of groups, from the places of their last tokens."""
+    out = ends + 1
+    out[1:] -= out[:-1].copy()
+    return out
 
 
 def written(a: np.ndarray, b: np.ndarray) -> bytes:
     """Marked ids as ``a1,a2|b1;a3|b2,b3``."""
     ends = [np.flatnonzero(x & MARK) for x in (a, b)]
-    size = [np.diff(e, prepend=-1) for e in ends]
-    own = [np.repeat(np.arange(len(n)), n) for n in size]
-    place_a = np.arange(len(a)) + (size[1].cumsum() - size[1])[own[0]]
-    place_b = np.arange(len(b)) + size[0].cumsum()[own[1]]
-    ids, sign = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
-    ids[place_a], ids[place_b] = a & ~MARK, b & ~MARK
-    sign[place_a[ends[0]]], sign[place_b[ends[1]]] = 1, 2
-    top = int(ids.max()) + 1 if len(ids) else 0
-    texts = decimals(1 << max(16, top.bit_length()))
-    signs = (b",", b"|", b";")
-    out = [b""] * (2 * len(ids))
-    out[::2] = map(texts.__getitem__, ids.tolist())
-    out[1::2] = map(signs.__getitem__, sign.tolist())
-    return b"".join(out[:-1])
+    size = [sizes(e) for e in ends]
+    place_a = np.arange(len(a)) + np.repeat(size[1].cumsum() - size[1], size[0])
+    place_b = np.arange(len(b)) + np.repeat(size[0].cumsum(), size[1])
+    ids_a, ids_b = (x & ~MARK for x in (a, b))
+    n = 1 << max(16, int(max(ids_a.max(initial=0), ids_b.max(initial=0))).bit_length())
+    code = np.empty(len(a) + len(b), np.int64)
+    code[place_a], code[place_b] = ids_a, ids_b
+    code[place_a[ends[0]]] += n
+    code[place_b[ends[1]]] += 2 * n
+    return decimals(n)[code].tobytes().translate(None, b"\0")[:-1]
 
 
 def coded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,7 +312,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarr
     Pairs are listed within groups, which are a word's few tokens; of a group with very many links only its
     different ids are paired, with their numbers.
     """
-    a_size, b_size = (np.diff(np.flatnonzero(x & MARK), prepend=-1) for x in (a, b))
+    a_size, b_size = (sizes(np.flatnonzero(x & MARK)) for x in (a, b))
     a_at, b_at = a_size.cumsum() - a_size, b_size.cumsum() - b_size
     a, b = a & ~MARK, b & ~MARK
     links = a_size * b_size
