@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,6 +37,19 @@ def _common_length(a: str, places: dict[str, int], size: int) -> int:
     return size - open_bits.bit_count()
 
 
+def pair_score(a: str, b: str, limits: vocab.Limits = vocab.ALL) -> float:
+    """The similarity of one pair in Python, for state processors: as ``settled_similarity``, then ``gestalt_ratio``."""
+    if not a or not b:
+        return 0.0
+    if a == b or (min(len(a), len(b)) >= vocab.CONTAINED_CHARS and (a in b or b in a)):
+        return 1.0
+    a, b = a[: limits.similar], b[: limits.similar]
+    total = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < vocab.SIMILAR_ENOUGH * total or 2 * sum((Counter(a) & Counter(b)).values()) < vocab.SIMILAR_ENOUGH * total:
+        return 0.0
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, argument order (incoming, stored), or 0 where it cannot reach the threshold.
