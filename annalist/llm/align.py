@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from annalist.llm.common import pick, prepare, slices, store
 
 #: Units whose tokens are aligned at once, and bytes (estimated) that a worker's table of known units may take.
-SLICE, TABLE_BYTES = 1 << 18, 48 << 20
+SLICE, TABLE_BYTES = 1 << 17, 32 << 20
 #: Tokens of a block of documents, entries that are summed at once, and links of a group that are listed one by one.
-BLOCK, TOGETHER, LISTED = 2_000_000, 4_000_000, 4096
+BLOCK, TOGETHER, LISTED = 1_000_000, 1_000_000, 4096
 #: Ids are dealt by their remainder.
 BUCKETS = 1024
 #: A unit starts with a blank or line feed that follows no white space. No match of the first tokenizer's pattern has white
@@ -252,24 +252,29 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
 
     Returns doc_id, a, b: the ids in order, 32 bits each (little-endian), the highest bit set on the last one of a group.
     """
+    rows, run, kind = _aligner(docs, first, second, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary")
+
+
+def _aligner(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> tuple:
+    """doc_id and text of ``docs``, what aligns their batches, and the type of the id."""
     context = prepare(docs.sparkSession).sparkContext
     for path in (first, second):
         context.addFile(path)
     names = os.path.basename(first), os.path.basename(second)
     rows = pick(docs, doc_id=id_col, text=text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(*map(SparkFiles.get, names))
         try:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, size=4 << 20):
                     found = aligned(p, part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([f[k] for f in found], pa.binary()) for k in range(2))], ["doc_id", "a", "b"])
         finally:
             p.reset()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary")
+    return rows, run, rows.schema["doc_id"].dataType.simpleString()
 
 
 @lru_cache(maxsize=2)
@@ -358,6 +363,11 @@ def by_bucket(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(bucket[new].tolist(), new.tolist(), [*new[1:].tolist(), len(key)])
 
 
+def measure(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK) -> DataFrame:
+    """``score`` of what ``align`` returns, in one pass over the texts: tokens go no further than their task."""
+    return _scored(*_aligner(docs, first, second, id_col, text_col), block_tokens)
+
+
 def score(pairs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
     """What each document's links are worth over all documents. ``pairs`` is what ``align`` returns.
 
@@ -368,7 +378,11 @@ def score(pairs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
     Returns doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair has the highest count of those with
     its first id), count_sum (over links), groups_sha256 ('' without tokens).
     """
-    kind = pairs.schema["doc_id"].dataType.simpleString()
+    return _scored(pairs.select("doc_id", "a", "b"), lambda batches: batches, pairs.schema["doc_id"].dataType.simpleString(), block_tokens)
+
+
+def _scored(rows: DataFrame, align_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str, block_tokens: int) -> DataFrame:
+    """Of rows whose batches ``align_batches`` turns into those of ``align``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -381,7 +395,7 @@ def score(pairs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
             key, own, docs = np.unique(np.concatenate([h[6] for h in held]), return_inverse=True, return_counts=True)
             first = np.concatenate([[0], np.cumsum(size)])
             steps = [np.diff(own[lo:hi], prepend=0).astype(np.int32) for lo, hi in zip(first, first[1:])]
-            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.concatenate(x).astype(np.int32))) for x in (steps, [h[7] for h in held])]
+            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.concatenate(x))) for x in (steps, [h[7] for h in held])]
             table = pa.RecordBatch.from_arrays(
                 [pa.array([h[0] for h in held], id_type), *(pa.array([h[k] for h in held], pa.int64()) for k in range(1, 5)), pa.array([h[5] for h in held], pa.string()), *lists],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "steps", "times"])
@@ -393,11 +407,12 @@ def score(pairs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
                 [pa.array([part << 32 | made]), pa.array([len(key)], pa.int64()), *(pa.array([x], pa.binary()) for x in (raw(np.diff(key, prepend=0)), raw(docs), sink.getvalue().to_pybytes()))],
                 ["block", "n", "keys", "docs", "payload"])
 
-        for batch in batches:
+        for batch in align_batches(batches):
             id_type = batch.schema.field("doc_id").type
             for k in range(batch.num_rows):
                 a, b = (np.frombuffer(batch.column(c)[k].as_py(), "<u4") for c in ("a", "b"))
                 n_groups, n_links, key, times = linked(a, b)
+                times = times.astype(np.int32) if times.max(initial=0) < 1 << 31 else times
                 sha = hashlib.sha256(written(a, b)).hexdigest() if len(a) else ""
                 held.append((batch.column("doc_id")[k].as_py(), len(a), len(b), n_groups, n_links, sha, key, times))
                 weight += len(a) + 50
@@ -407,7 +422,7 @@ def score(pairs: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
         if held:
             yield block()
 
-    blocks = store(pairs.mapInArrow(pack, "block long, n long, keys binary, docs binary, payload binary"), "alignments")
+    blocks = store(rows.mapInArrow(pack, "block long, n long, keys binary, docs binary, payload binary"), "alignments")
 
     def rows_of(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = list(by_bucket(key))

@@ -97,5 +97,4 @@ def op11_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    return align.score(pairs)
+    return align.measure(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

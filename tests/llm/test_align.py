@@ -125,7 +125,9 @@ def test_equals_brute_force(spark, pair, monkeypatch, block, together):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, a int, B string").repartition(4)
     got = align.score(align.align(df, A, B), block)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(pair, docs)
+    want = brute(pair, docs)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert sorted((tuple(r) for r in align.measure(df, A, B, block_tokens=block).collect()), key=str) == want
 
 
 def test_empty_table_and_empty_texts(spark):
