@@ -91,3 +91,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     place = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut_lineage`` made, when nothing will read it again."""
+    context = df.sparkSession.sparkContext
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

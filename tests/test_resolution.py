@@ -97,6 +97,28 @@ def test_resolution_equals_one_by_one(spark):
     assert {r.event_id for r in res.feed(7, F.lit("2026-09-01").cast("timestamp")).collect()} == set(fresh)
 
 
+def test_later_rounds_touch_fewer_rows(spark):
+    """A chain of dependent decisions among many rows that are settled at once."""
+    chars = [chr(0x4E00 + k) for k in range(4000)]
+    rng = random.Random(4)
+    texts = ["".join(rng.sample(chars, 30)) for _ in range(300)]
+    link = "".join(rng.sample(chars, 40))
+    chain = [link[k:] + "".join(rng.sample(chars, k)) for k in range(0, 40, 5)]
+    rows = [(i, 0, 1, "other", t, t, dt.datetime(2026, 7, 1 + i % 9), "", dt.datetime(2026, 8, 1) + dt.timedelta(minutes=i), "e", f"k{i}")
+            for i, t in enumerate([*texts, *chain, *texts[:50]])]
+    df = spark.createDataFrame(rows, "document_id long, seg_idx int, person_id long, event_type string, title string, summary string, start_at timestamp, "
+                                     "location_name string, collected_at timestamp, evidence_text string, dedup_key string")
+    df = df.withColumn("location_precision", F.lit("city")).withColumn("review_status", F.lit("approved"))
+    res = rs.resolve(df, None, None, F.lit("2026-09-01").cast("timestamp"))
+    want = _one_by_one(rs.with_cores(df).orderBy("document_id").collect(), [])
+    found = res.targets.collect()
+    fresh = {r.event_id: ("new", r.document_id) for r in found if r.is_new}
+    assert {r.document_id: fresh[r.event_id] for r in found} == want
+    touched = [n for _, n, _ in res.rounds]
+    assert touched[0] == len(rows) and len(touched) > 1 and max(touched[1:]) < len(rows) / 4
+    assert [tuple(r) for r in res.work(spark).orderBy("round").collect()] == res.rounds
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_equals_one_by_one(spark, seed):
     rng = random.Random(seed)
