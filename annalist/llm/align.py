@@ -17,7 +17,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import pick, prepare, slices, store
+from annalist.llm.common import freed, pick, prepare, slices, store
 
 #: Units whose tokens are aligned at once, and bytes (estimated) that a worker's table of known units may take.
 SLICE, TABLE_BYTES = 1 << 17, 32 << 20
@@ -253,7 +253,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     Returns doc_id, a, b: the ids in order, 32 bits each (little-endian), the highest bit set on the last one of a group.
     """
     rows, run, kind = _aligner(docs, first, second, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary")
+    return rows.mapInArrow(freed(run), f"doc_id {kind}, a binary, b binary")
 
 
 def _aligner(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> tuple:
@@ -422,7 +422,7 @@ def _scored(rows: DataFrame, align_batches: Callable[[Iterator[pa.RecordBatch]],
         if held:
             yield block()
 
-    blocks = store(rows.mapInArrow(pack, "block long, n long, keys binary, docs binary, payload binary"), "alignments")
+    blocks = store(rows.mapInArrow(freed(pack), "block long, n long, keys binary, docs binary, payload binary"), "alignments")
 
     def rows_of(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = list(by_bucket(key))
@@ -470,8 +470,8 @@ def _scored(rows: DataFrame, align_batches: Callable[[Iterator[pa.RecordBatch]],
                     keys, docs = [key], [total]
         yield from out()
 
-    sums = blocks.select("n", "keys", "docs").mapInArrow(partly, "bucket long, n long, keys binary, docs binary")
-    counts = store(sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(fully, "bucket long, n long, keys binary, docs binary"), "pair-counts")
+    sums = blocks.select("n", "keys", "docs").mapInArrow(freed(partly), "bucket long, n long, keys binary, docs binary")
+    counts = store(sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(freed(fully), "bucket long, n long, keys binary, docs binary"), "pair-counts")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -494,9 +494,9 @@ def _scored(rows: DataFrame, align_batches: Callable[[Iterator[pa.RecordBatch]],
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["block", "bucket", "n", "data"])
 
-    questions = blocks.select("block", "n", "keys").mapInArrow(asked, "bucket long, block long, n long, keys binary, docs binary")
+    questions = blocks.select("block", "n", "keys").mapInArrow(freed(asked), "bucket long, block long, n long, keys binary, docs binary")
     both = questions.unionByName(counts.withColumn("block", F.lit(None).cast("long")))
-    replies = both.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(answered, "block long, bucket long, n long, data binary")
+    replies = both.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(freed(answered), "block long, bucket long, n long, data binary")
     streams = replies.unionByName(blocks.select("block", F.lit(None).cast("long").alias("bucket"), "n", F.col("payload").alias("data")))
     streams = streams.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
 
@@ -528,4 +528,4 @@ def _scored(rows: DataFrame, align_batches: Callable[[Iterator[pa.RecordBatch]],
                 yield pa.RecordBatch.from_arrays([*(table.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, table.column("sha")],
                                                  ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return streams.mapInArrow(closed, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return streams.mapInArrow(freed(closed), f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import pick, prepare, slices, words_of
+from annalist.llm.common import freed, pick, prepare, slices, words_of
 
 #: Texts with a run of this many characters without white space are cut there and joined again.
 PIECE = 2048
@@ -299,12 +299,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 out.append(b"".join(x.tobytes() for x in ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    plain = rows.where(~unsplit).mapInArrow(simple, f"doc_id {kind}, ids binary")
+    plain = rows.where(~unsplit).mapInArrow(freed(simple), f"doc_id {kind}, ids binary")
     numbered = rows.where(unsplit).withColumn("_row", F.monotonically_increasing_id())
-    spread = numbered.mapInArrow(cut, f"_row long, doc_id {kind}, word long, part long, text string, ids binary, closes boolean")
-    done = spread.repartition("_row", "word", "part").mapInArrow(pieces, f"_row long, doc_id {kind}, word long, part long, ids binary")
+    spread = numbered.mapInArrow(freed(cut), f"_row long, doc_id {kind}, word long, part long, text string, ids binary, closes boolean")
+    done = spread.repartition("_row", "word", "part").mapInArrow(freed(pieces), f"_row long, doc_id {kind}, word long, part long, ids binary")
     gathered = done.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("word", "part", "ids")).alias("parts"))
-    long = gathered.select("doc_id", "parts").mapInArrow(joined, f"doc_id {kind}, ids binary")
+    long = gathered.select("doc_id", "parts").mapInArrow(freed(joined), f"doc_id {kind}, ids binary")
     return plain.unionByName(long)
 
 
@@ -350,7 +350,7 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(of_ids), pa.array(of_text)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(freed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def opened(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -367,4 +367,4 @@ def opened(encoded: DataFrame, vocabulary: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                      pa.array([decode(r, vocabulary) for r in rows], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
+    return encoded.mapInArrow(freed(run), f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +71,24 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.orderBy(place, *keys).limit(most)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def freed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, which at its end hands the memory that it no longer needs back to the system: Spark
+    keeps Python workers for other tasks, and an executor's memory is that of all its idle workers too."""
+    def held(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary Arrow array, and the n + 1 offsets of its rows; null rows have no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import discard, pick, prepare, store, words_of
+from annalist.llm.common import discard, freed, pick, prepare, store, words_of
 from annalist.llm.graph import components
 
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -195,7 +195,7 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
                     [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
                     ["doc_id", "text_key", "set_key", "grams", "bands"])
 
-    sketches = store(named.mapInArrow(sketched, "doc_id long, text_key binary, set_key binary, grams long, bands array<long>"), "sketch")
+    sketches = store(named.mapInArrow(freed(sketched), "doc_id long, text_key binary, set_key binary, grams long, bands array<long>"), "sketch")
     sets = store(
         sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("at"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
@@ -222,7 +222,7 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
                 yield whole.filter(pa.array([bool(s) for s in same], pa.bool_()))
 
     # Always by a shuffle of the texts: a join whose way depends on the number of members costs another way at each size.
-    held = fetched(named, members.hint("merge")).mapInArrow(rebuilt, "cluster long, set long, copies long, held binary").join(blocks, "cluster")
+    held = fetched(named, members.hint("merge")).mapInArrow(freed(rebuilt), "cluster long, set long, copies long, held binary").join(blocks, "cluster")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks"))
     dealt = held.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "_mine", "set", "copies", "held")
@@ -245,7 +245,7 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["set", "links", "root"])
 
     checked = store(dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(
-        verified, "set long, links long, root long"), "checked")
+        freed(verified), "set long, links long, root long"), "checked")
     discard(members)
     links = checked.groupBy("set").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import names as given_names
-from annalist.llm.common import pick, prepare, store
+from annalist.llm.common import freed, pick, prepare, store
 
 # Titles by gender, syllables of made-up surnames by script. Given names are a table.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora"], "": ["Dr", "Prof"]}
@@ -362,7 +362,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", given_table: Da
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in told], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))],
                                              ["k1", "k2", "kind", "form"])
 
-    mentions = store(marked.select("k1", "k2", F.col(text).alias("text")).mapInArrow(mentioned, "k1 long, k2 long, kind string, form string"), "mentions")
+    mentions = store(marked.select("k1", "k2", F.col(text).alias("text")).mapInArrow(freed(mentioned), "k1 long, k2 long, kind string, form string"), "mentions")
     known = assign(mentions.select("kind", "form").distinct(), key)
     by_text = mentions.distinct().join(known, ["kind", "form"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "form", "surrogate")).alias("known"))
     joined = marked.join(by_text, ["k1", "k2"], "left").drop("k1", "k2")
@@ -379,4 +379,4 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", given_table: Da
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
     clean = plain.where(~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    return joined.mapInArrow(rewritten, f"{kinds}, n_entities long").unionByName(clean).toDF(*columns, "n_entities")
+    return joined.mapInArrow(freed(rewritten), f"{kinds}, n_entities long").unionByName(clean).toDF(*columns, "n_entities")

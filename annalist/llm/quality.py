@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import bounded_sample, pick, prepare, slices, words_of
+from annalist.llm.common import bounded_sample, freed, pick, prepare, slices, words_of
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col:
                 ["doc", "quality", "features"])
 
     # Repeated ids could bring more rows than labels; the bound holds for what the driver gets.
-    rows = sorted(known.mapInArrow(measured, "doc long, quality int, features array<double>").limit(4 * sample_rows).collect())
+    rows = sorted(known.mapInArrow(freed(measured), "doc long, quality int, features array<double>").limit(4 * sample_rows).collect())
     if not rows:
         return None
     x = np.array([r["features"] for r in rows])
@@ -189,7 +189,7 @@ def judge(docs: DataFrame, forest: Forest | None, poor_above: float = 0.7, id_co
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    return rows.mapInArrow(freed(run), f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                 "n_repeat_words long, base_failed boolean, kept boolean, poor double")
 
 
@@ -216,4 +216,4 @@ def keep(docs: DataFrame, forest: Forest | None, poor_above: float = 0.7, text_c
                 yield part.filter(verdict(found, forest, poor_above)[6])
 
     plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(freed(run), plain.schema).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalist.llm.bpe import encoder
-from annalist.llm.common import discard, new_folder, pick, prepare, slices, store
+from annalist.llm.common import discard, freed, new_folder, pick, prepare, slices, store
 
 PRECISION = 20
 LOW = np.uint64(1 << 31)
@@ -253,7 +253,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
 
     width = 2 if max(encoder(vocabulary).size, end_id + 1) <= 1 << 16 else 4
     ordered = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    held = store(ordered.select("doc_id", "text").mapInArrow(tokenize, "part long, place long, doc_id long, ids binary"), "ids")
+    held = store(ordered.select("doc_id", "text").mapInArrow(freed(tokenize), "part long, place long, doc_id long, ids binary"), "ids")
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +261,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
                 both = np.frombuffer(raw, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(both[: len(both) // 2]), pa.array(both[len(both) // 2 :])], ["id", "n"])
 
-    counted = held.where("place = -1").select("ids").mapInArrow(unpacked, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = held.where("place = -1").select("ids").mapInArrow(freed(unpacked), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     table = Table.of({r["id"]: r["n"] for r in counted.collect()})
     spark.createDataFrame([(int(i), int(s)) for i, s in zip(table.ids, table.share)], "id long, share long").coalesce(1).write.parquet(f"{folder}/table")
 
@@ -284,7 +284,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col
         if run:
             yield from out(run.flush(True))
 
-    made = held.where("place >= 0").mapInArrow(coded, "record binary")
+    made = held.where("place >= 0").mapInArrow(freed(coded), "record binary")
     # The text writer puts the bytes of a string down as they are.
     made.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(f"{folder}/blocks")
     discard(held)
@@ -331,7 +331,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], NAMES + ["ids"] * with_ids)
 
     files = spark.read.format("binaryFile").load(f"{folder}/blocks").where("length > 0").select("content")
-    return files.mapInArrow(decoded, ", ".join(f"{n} long" for n in NAMES) + ", ids binary" * with_ids)
+    return files.mapInArrow(freed(decoded), ", ".join(f"{n} long" for n in NAMES) + ", ids binary" * with_ids)
 
 
 NAMES = ["part", "place", "doc_id", "run", "run_start", "n_tokens", "ids_crc32"]
