@@ -2,7 +2,7 @@
 
 A person owns a predicate if their latest mention before it stands in the same clause, close enough,
 is no background mention, and nobody else is mentioned in between. All tests of one segment are array
-expressions on one row; only mentions are shuffled.
+expressions on one row, and so is the search for names.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from annalist import vocab
 from annalist.functions import text as tx
-from annalist.operators.persons import Scope, find_names
+from annalist.operators.persons import Scope, find_names, mentions
 from annalist.operators.segments import LEXICON, has_predicate, segments, unit_array, with_predicates
+from annalist.session import ship
 
 VERDICT = "array<struct<person_id:bigint,event_type:string,valid:boolean>>"
 MENTION = "array<struct<person_id:bigint,rank:bigint,name:string,border:boolean,pos:int>>"
@@ -72,14 +73,28 @@ def _owns(text: Column, own: Column, rivals: Column, predicates: Column, lexicon
     return F.exists(placed, lambda z: F.coalesce(fits(z), F.lit(False)))
 
 
-def gather_mentions(rows: DataFrame, keys: list[str], scope: Scope, target: str | None = None) -> DataFrame:
-    """Per row, the in-scope mentions of all persons, in one array bounded by the text's length."""
-    carried = [*keys, "source_id"] + ([target] if target else [])
-    found = scope.restrict(find_names(rows.select(*carried, "text"), carried, scope.names,
-                                       lengths=scope.lengths, slots=scope.slots), target)
-    return found.groupBy(*keys).agg(F.collect_list(F.struct(
-        "person_id", "rank", "name", "border", F.col("pos").cast("int").alias("pos"))).cast(MENTION).alias("found")).withColumn(
-        "found", _without_overlaps(F.col("found")))
+def with_mentions(rows: DataFrame, keys: list[str], scope: Scope, target: str | None = None) -> DataFrame:
+    """``rows`` with the in-scope mentions of all persons in one array ``found``, bounded by the text's length.
+
+    The names are found in the row, and only the lists of linked persons, one a source, meet the rows. With too many names for
+    that, mentions come from a join and are gathered by key.
+    """
+    if scope.known is None:
+        carried = [*keys, "source_id"] + ([target] if target else [])
+        told = scope.restrict(find_names(rows.select(*carried, "text"), carried, scope.names), target)
+        gathered = told.groupBy(*keys).agg(F.collect_list(F.struct(
+            "person_id", "rank", "name", "border", F.col("pos").cast("int").alias("pos"))).cast(MENTION).alias("found"))
+        return rows.join(gathered, keys, "left").withColumn("found", F.coalesce("found", F.array().cast(MENTION)))
+    ship(rows.sparkSession)
+    lists = scope.linked.groupBy("source_id").agg(F.collect_list("person_id").alias("linked"))
+    told = rows.withColumn("found", mentions(scope.names, scope.known)(F.lower(F.col("text")))).join(lists, "source_id", "left")
+
+    def inside(m: Column) -> Column:
+        counts = m["live"] & (F.col("linked").isNull() | F.array_contains("linked", m["person_id"]))
+        return counts if target is None else counts | F.coalesce(m["person_id"] == F.col(target), F.lit(False))
+
+    own = F.transform(F.filter("found", inside), lambda m: F.struct(*[m[c].alias(c) for c in ("person_id", "rank", "name", "border", "pos")]))
+    return told.withColumn("found", own.cast(MENTION)).drop("linked")
 
 
 def judged_rows(rows: DataFrame, keys: list[str], scope: Scope, lexicon: vocab.Lexicon = LEXICON,
@@ -90,9 +105,8 @@ def judged_rows(rows: DataFrame, keys: list[str], scope: Scope, lexicon: vocab.L
     mentioned person and each type with predicates, whether the person is the subject (a statement
     that starts with a pronoun has no explicit one); ``owner`` is the only person with a valid verdict.
     """
-    mentions = gather_mentions(rows, keys, scope, target)
-    joined = rows.join(mentions, keys, "left").where(F.col("found").isNotNull() | F.col("led"))
-    joined = joined.withColumn("found", F.coalesce("found", F.array().cast(MENTION)))
+    joined = with_mentions(rows, keys, scope, target).where((F.size("found") > 0) | F.col("led"))
+    joined = joined.withColumn("found", _without_overlaps(F.col("found")))
     people = F.array_distinct(F.transform("found", lambda x: x["person_id"]))
     sides = F.transform(people, lambda p: F.struct(
         p.alias("person_id"), F.filter("found", lambda x: x["person_id"] == p).alias("own"),

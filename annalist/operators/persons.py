@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from annalist.functions import text as tx
+from annalist.session import ship
 
 
 def is_live() -> Column:
@@ -40,8 +47,7 @@ class Scope:
     names: DataFrame
     linked: DataFrame
     live_count: int
-    lengths: tuple[int, int]
-    slots: list[int]
+    known: list[Row] | None
 
     @property
     def linked_sources(self) -> DataFrame:
@@ -73,7 +79,7 @@ def make_scope(persons: DataFrame, aliases: DataFrame | None, source_persons: Da
         linked = source_persons.select("source_id", "person_id").join(live.select("person_id"), "person_id", "left_semi").distinct() \
             .select("source_id", "person_id")
     names = name_table(persons, aliases)
-    return Scope(names, linked, live.count(), name_lengths(names), anchor_slots(names))
+    return Scope(names, linked, live.count(), known_names(names))
 
 
 def persons_for_source(scope: Scope) -> DataFrame:
@@ -105,19 +111,92 @@ def anchor_slots(names: DataFrame) -> list[int]:
     return sorted(r[0] for r in names.select(slot_of(F.col("anchor"))).distinct().collect())
 
 
-def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "text",
-               lengths: tuple[int, int] | None = None, slots: list[int] | None = None) -> DataFrame:
-    """Every occurrence of every name: keys + person_id, rank, name, live, border, pos.
+# ---- names by an automaton --------------------------------------------------------------------------
+
+#: So many names, of some dozen characters each, go to every task as one automaton; more of them meet the texts in a join.
+MOST_NAMES = 200_000
+MENTIONED = ("person_id", "rank", "name", "live", "border")
+
+
+def known_names(names: DataFrame, most: int | None = None) -> list[Row] | None:
+    """The rows of a name table, if they are no more than ``most``."""
+    most = MOST_NAMES if most is None else most
+    rows = names.select(*MENTIONED, "lname").limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+@lru_cache(maxsize=2)
+def _automaton(lnames: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One per worker and table of names."""
+    found = ahocorasick.Automaton()
+    for number, name in enumerate(lnames):
+        found.add_word(name, number)
+    found.make_automaton()
+    return found
+
 
-    Positions that no anchor's slot (see ``anchor_slots``) admits are dropped inside the row, before they become rows.
+def mentions(names: DataFrame, known: list[Row]) -> Callable[[Column], Column]:
+    """A function of a text in lower case: the array of all places of all names, (person_id, rank, name, live, border, pos).
 
-    Texts and names meet in an equi-join on two opening characters and are then compared in full, so
-    the work grows with the length of the texts and not with texts x names. Only the few characters a
-    name can need travel with each position.
+    One automaton of all names reads an Arrow batch of texts, each character once, so the work is that of the texts' length and
+    of the hits; the text does not leave its row, and nothing is shuffled.
     """
-    shortest, longest = lengths or name_lengths(names)
+    lnames = tuple(sorted({r["lname"] for r in known}))
+    place = {name: k for k, name in enumerate(lnames)}
+    owners: list[list[int]] = [[] for _ in lnames]
+    for k, r in enumerate(known):
+        owners[place[r["lname"]]].append(k)
+    fields = [names.schema[c] for c in MENTIONED]
+    columns = [[r[f.name] for r in known] for f in fields]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    schema = T.ArrayType(T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("pos", T.IntegerType())]))
+
+    @F.arrow_udf(schema)
+    def found(low: pa.Array) -> pa.Array:
+        scan = _automaton(lnames) if lnames else None
+        rows: list[int] = []
+        places: list[int] = []
+        ends = [0]
+        for text in low.to_pylist():
+            if text and scan is not None:
+                for end, number in scan.iter(text):
+                    own = owners[number]
+                    rows += own
+                    places += [end + 1 - len(lnames[number])] * len(own)
+            ends.append(len(rows))
+        at = pa.array(rows, pa.int64())
+        parts = [pa.array(c, k).take(at) for c, k in zip(columns, kinds)] + [pa.array(places, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, [*MENTIONED, "pos"]))
+
+    return found
+
+
+def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "text", known: list[Row] | None = None) -> DataFrame:
+    """Every occurrence of every name: keys + person_id, rank, name, live, border, pos.
+
+    ``known`` are the names' rows where the caller has them. Very many names are not sent to all tasks: see ``join_names``.
+    """
+    known = known_names(names) if known is None else known
+    if known is None:
+        return join_names(rows, keys, names, text)
+    ship(rows.sparkSession)
+    hits = rows.select(*keys, F.explode(mentions(names, known)(F.lower(F.col(text)))).alias("m"))
+    return hits.select(*keys, "m.*")
+
+
+def join_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "text") -> DataFrame:
+    """As ``find_names``, for any number of names: texts and names meet in an equi-join on two opening characters and are
+    then compared in full. Positions that no anchor's slot (see ``anchor_slots``) admits are dropped inside the row, before they
+    become rows; only the few characters a name can need travel with each position.
+    """
+    shortest, longest = name_lengths(names)
     low = rows.select(*keys, F.lower(F.col(text)).alias("low"))
     chars = low.select(*keys, "low", F.regexp_extract_all("low", F.lit("(?s)."), F.lit(0)).alias("chars"))
+    # the characters ahead come from the array, not from the text, which would be walked again for every position
+
+    def ahead(i: Column) -> Column:
+        return F.array_join(F.slice("chars", i + 1, F.lit(longest)), "")
+
     pairs = F.zip_with("chars", F.slice("chars", 2, F.greatest(F.size("chars"), F.lit(1))),
                        lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     if shortest < 2:
@@ -125,12 +204,11 @@ def find_names(rows: DataFrame, keys: list[str], names: DataFrame, text: str = "
             F.struct(i.alias("pos"), g.alias("anchor")), F.struct(i.alias("pos"), F.substring(g, 1, 1).alias("anchor"))))))
     else:
         placed = F.transform(pairs, lambda g, i: F.struct(i.alias("pos"), g.alias("anchor")))
-    slots = anchor_slots(names) if slots is None else slots
+    slots = anchor_slots(names)
     placed = F.filter(placed, lambda g: slot_of(g["anchor"]).isin(slots) if slots else F.lit(False))
-    spread = chars.select(*keys, "low", F.explode_outer(placed).alias("g")).where(F.col("g").isNotNull()).select(
-        *keys, "g.pos", "g.anchor", F.substring(F.col("low"), F.col("g.pos") + 1, F.lit(longest)).alias("ahead"))
-    return spread.join(names, "anchor").where(F.startswith("ahead", "lname")).select(
-        *keys, "person_id", "rank", "name", "live", "border", "pos")
+    placed = F.transform(placed, lambda g: F.struct(g["pos"].alias("pos"), g["anchor"].alias("anchor"), ahead(g["pos"]).alias("ahead")))
+    spread = chars.select(*keys, F.explode_outer(placed).alias("g")).where(F.col("g").isNotNull()).select(*keys, "g.*")
+    return spread.join(names, "anchor").where(F.startswith("ahead", "lname")).select(*keys, *MENTIONED, "pos")
 
 
 def hit_rows(rows: DataFrame, keys: list[str], terms: DataFrame, text: str = "text") -> DataFrame:

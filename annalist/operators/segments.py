@@ -15,8 +15,7 @@ LEXICON = vocab.Lexicon()
 def unit_array(content: Column, lexicon: vocab.Lexicon = LEXICON) -> Column:
     """Segments of one text in order: paragraphs, then sentences, then flattened list entries.
 
-    All of it is one array expression per document, so segmenting needs no shuffle and the place of a
-    segment is its array index.
+    All of it is one array expression per document, so the place of a segment is its array index.
     """
     sentence = f".*?(?:[{lexicon.sentence_end}][{vocab.CLOSING_QUOTE}]?|$)"
 
@@ -48,6 +47,9 @@ def segments(docs: DataFrame, lexicon: vocab.Lexicon = LEXICON) -> DataFrame:
 
     # the one-element array binds the units to a lambda variable, so they are computed once per document
     near = F.get(F.transform(F.array(unit_array(F.col("content_text"), lexicon)), with_neighbours), 0)
+    # dealt out always: the expressions cost far more than a shuffle of the input, and files and row groups differ in size
+    if "document_id" in docs.columns:
+        docs = docs.repartition("document_id")
     return docs.select(*keep, F.posexplode_outer(near).alias("seg_idx", "u")).where(F.col("seg_idx").isNotNull()).select(
         *keep, "seg_idx", "u.*")
 

@@ -97,7 +97,7 @@ def predicates(t: Tables) -> DataFrame:
 def name_mentions(t: Tables) -> DataFrame:
     rows = sg.segments(t.articles, LEX).select("document_id", "seg_idx", "text")
     sc = scope(t)
-    return pe.find_names(rows, ["document_id", "seg_idx"], sc.names, lengths=sc.lengths, slots=sc.slots).select(
+    return pe.find_names(rows, ["document_id", "seg_idx"], sc.names, known=sc.known).select(
         "document_id", "seg_idx", "person_id", "pos")
 
 
