@@ -9,6 +9,8 @@ from annalist.functions.times import seconds_text
 from annalist.operators import timeline as tl
 from annalist.plans.catalogue import query
 from annalist.plans.standins import Tables
+from annalist.sources import search_index as si
+from annalist.streaming import jobs
 
 _SHADOW = """shadow AS (SELECT DISTINCT o.event_id FROM tl_evidence o JOIN tl_events e ON e.event_id = o.event_id
   JOIN tl_evidence s ON s.document_id = o.document_id JOIN tl_events p ON p.event_id = s.event_id
@@ -131,17 +133,30 @@ def cross_search(t: Tables) -> DataFrame:
         "start_at", seconds_text(F.col("start_at")))
 
 
-@query("cross_search_documents", f"""SELECT id, result_type, title, person_name FROM (
+_FOUND = f"""SELECT id, result_type, title, person_name FROM (
   (SELECT 0 part, event_id id, 'event' result_type, title, p.name person_name FROM tl_events e
    JOIN tl_persons p ON p.person_id = e.person_id WHERE review_status <> 'rejected' AND (contains(lower(title), 'ring')
    OR contains(lower(summary), 'ring') OR contains(lower(location_name), 'ring') OR contains(lower(p.name), 'ring')) ORDER BY event_id LIMIT 30)
   UNION ALL (SELECT 1, document_id, 'document', title, s.name FROM tl_documents d
    JOIN tl_sources s ON s.source_id = d.source_id WHERE contains(lower(title), 'ring')
-   OR contains(lower(content_text), 'ring') ORDER BY document_id LIMIT 30)) ORDER BY part, id LIMIT 30""")
+   OR contains(lower(content_text), 'ring') ORDER BY document_id LIMIT 30)) ORDER BY part, id LIMIT 30"""
+
+
+@query("cross_search_documents", _FOUND)
 def cross_search_documents(t: Tables) -> DataFrame:
     return tl.search("Ring", t.events, t.persons, t.documents, t.sources).select("id", "result_type", "title", "person_name")
 
 
+@query("indexed_search", _FOUND)
+def indexed_search(t: Tables) -> DataFrame:
+    """The same search through the trigram index, which two batches wrote."""
+    root = jobs.work_folder(t.spark, "search")
+    for n in (0, 1):
+        si.index_batch(t.events.where(F.col("event_id") % 2 == n), "event_id", si.EVENT_TEXTS, root, "events", n)
+        si.index_batch(t.documents.where(F.col("document_id") % 2 == n), "document_id", si.DOCUMENT_TEXTS, root, "documents", n)
+    return si.search("Ring", root, t.events, t.persons, t.documents, t.sources).select("id", "result_type", "title", "person_name")
+
+
 @query("dashboard_counts", """SELECT 'persons' metric, count(*) n FROM tl_persons WHERE enabled AND deleted_at IS NULL
 UNION ALL SELECT 'sources', count(*) FROM tl_sources WHERE enabled
 UNION ALL SELECT 'documents_today', count(*) FROM tl_documents WHERE collected_at::DATE = DATE '2000-01-01'
