@@ -157,3 +157,19 @@ def skipped_file(url: Column) -> Column:
     for suffix in vocab.SKIPPED_SUFFIXES:
         hit = hit | F.endswith(place, F.lit(suffix))
     return hit
+
+
+def percent_encoded(c: Column) -> Column:
+    """Text as part of an address: UTF-8 bytes in percent form, but for letters, digits and ``_.-~/``."""
+    out = F.url_encode(c)
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return out
+
+
+def search_template(root_host: Column) -> Column:
+    """The search address of a listed site, '' for others."""
+    out = F.lit("")
+    for suffix, _, template in reversed(vocab.SITE_PROFILES):
+        out = F.when(F.endswith(root_host, F.lit(suffix)), F.lit(template)).otherwise(out)
+    return out

@@ -167,6 +167,23 @@ def reanalyse(job: Repair, events: DataFrame, evidence: DataFrame, scope: Scope,
     return events_left, evidence_left, resolve(incoming, events_left, evidence_left, as_of, limits)
 
 
+def reanalyse_documents(ids: DataFrame, documents: DataFrame, events: DataFrame | None, evidence: DataFrame | None, scope: Scope, as_of: Column,
+                        lexicon: vocab.Lexicon = LEXICON, limits: vocab.Limits = vocab.ALL) -> tuple[Resolution, DataFrame, DataFrame]:
+    """Extract chosen documents (``ids``: document_id) again and resolve what they say against the stored events.
+
+    Returns the resolution, one row per chosen document (document_id, event_count: its new evidence rows), and the ids that no
+    document has. Events of the same key and stored evidence are met again, so a second run brings no event and no
+    evidence. A repeated id counts once.
+    """
+    wanted = ids.select("document_id").distinct()
+    chosen = documents.join(wanted, "document_id", "left_semi")
+    found, _ = extract_events(chosen, scope, as_of, lexicon, limits)
+    res = resolve(found.join(chosen.select("document_id", "collected_at"), "document_id"), events, evidence, as_of, limits)
+    counts = res.evidence.groupBy("document_id").agg(F.count(F.lit(1)).alias("event_count"))
+    told = chosen.select("document_id").join(counts, "document_id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
+    return res, told, wanted.join(documents, "document_id", "left_anti")
+
+
 # ---- times -----------------------------------------------------------------------------------------
 
 def _first_document(evidence: DataFrame, documents: DataFrame) -> DataFrame:

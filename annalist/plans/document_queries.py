@@ -117,6 +117,68 @@ def discover_candidates(t: Tables) -> DataFrame:
     return lk.discover_candidates(_roots(t), links, terms, 2)
 
 
+_HOST = "regexp_extract({0}, '^https?://[^/]*', 0)"
+_NAV = "(lower({0}) = '/' OR regexp_matches(lower({0}), 'list|index|channel|search|news|politics|gov'))"
+_WALK = f"""{_LINKS}, site AS (SELECT l.page_id, {_HOST.format('page_url')} || href u, link_idx i, href, txt FROM links l WHERE href <> '/'),
+hits AS (SELECT page_id, u, min(i) i FROM site WHERE (contains(lower(txt || ' ' || u), 'the') OR contains(lower(txt || ' ' || u), 'ing')) AND NOT {_NAV.format('href')} GROUP BY ALL),
+extra AS (SELECT p.page_id, {_HOST.format('p.url')} || l.href u, min(l.link_idx) i FROM links l JOIN pages p ON p.page_id = l.page_id - 1 WHERE NOT {_NAV.format('l.href')} GROUP BY ALL),
+found AS (SELECT page_id, u, 0 part, i FROM hits UNION ALL SELECT page_id, u, 1, i FROM extra WHERE (page_id, u) NOT IN (SELECT page_id, u FROM hits))"""
+
+
+def _single_pages(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Roots that are read alone, their links, search result pages that hold the links of the next page, and terms."""
+    src = t.raw("pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("entry_url"),
+                                F.lit('{"discovery_enabled":true,"discovery_max_depth":0}').alias("parser_config"))
+    links = _links(t).withColumn("page_url", urls.canonical_url(F.col("page_url")))
+    own = t.raw("pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("page_url"))
+    searched = _links(t).drop("page_url").withColumn("source_id", F.col("source_id") - 1).join(own, "source_id")
+    terms = own.select("source_id", F.explode(F.array(F.lit("The"), F.lit("ing"))).alias("term"))
+    return lk.discovery_roots(src), links, searched, terms
+
+
+@query("search_candidates", f"""WITH {_WALK} SELECT page_id source_id, u url, row_number() OVER (PARTITION BY page_id ORDER BY part, i)::INT AS rank FROM found""")
+def search_candidates(t: Tables) -> DataFrame:
+    """All candidates of every source: those of its own page, then those of its search page, which need no term."""
+    roots, links, searched, terms = _single_pages(t)
+    return lk.discover_candidates(roots, links, terms, None, searched)
+
+
+@query("search_pages", """SELECT page_id source_id, CASE page_id % 4 WHEN 0 THEN 'https://own.example.org/?q=' WHEN 1 THEN 'http://search.people.cn/s/?keyword=' ELSE 'https://so.news.cn/#search/0/' END ||
+ CASE WHEN page_id % 2 = 0 THEN url_encode('习近平 ' || page_id) ELSE url_encode(lower('Ann*~' || page_id)) END || CASE WHEN page_id % 4 = 2 THEN '/1/0' ELSE '' END search_url
+FROM pages WHERE page_id % 4 <> 3""")
+def search_pages(t: Tables) -> DataFrame:
+    """Search addresses: a template of the source's own, two listed sites, and a site without search."""
+    k = F.col("source_id")
+    pages = t.raw("pages").select(F.col("page_id").alias("source_id"))
+    entry = F.when(k % 4 == 1, "http://politics.people.com.cn/a").when(k % 4 == 2, "https://www.news.cn/").otherwise("https://example.org/")
+    config = F.when(k % 4 == 0, '{"discovery_enabled":true,"discovery_search_url_template":"https://own.example.org/?q={query}"}').otherwise('{"discovery_enabled":true}')
+    names = F.array(F.struct(F.lit(1).alias("rank"), F.concat(F.lit(" Ann*~"), k).alias("term")),
+                    F.struct(F.lit(2).alias("rank"), F.when(k % 2 == 0, F.concat(F.lit("习近平 "), k)).otherwise("other").alias("term")))
+    terms = pages.select("source_id", F.explode(names).alias("n")).select("source_id", "n.rank", "n.term")
+    return lk.search_pages(pages.select("source_id", entry.alias("entry_url"), config.alias("parser_config")), terms)
+
+
+@query("discovery_statistics", f"""WITH {_WALK}, n AS (SELECT page_id, count(*) n FROM links GROUP BY 1),
+c AS (SELECT page_id, count(*) n FROM found GROUP BY 1), s AS (SELECT page_id, count(*) n FROM site GROUP BY 1)
+SELECT p.page_id source_id, (coalesce(n.n, 0) + coalesce(m.n, 0))::BIGINT links_extracted, coalesce(s.n, 0)::BIGINT same_site_links, coalesce(c.n, 0)::BIGINT candidates,
+ 1::BIGINT pages_scanned, (p.page_id < (SELECT max(page_id) FROM pages))::BIGINT search_pages, 1::BIGINT articles_fetched, (p.page_id % 3 <> 0)::BIGINT accepted,
+ (p.page_id % 3 = 1)::BIGINT cleaned_accepted, (p.page_id % 3 = 0)::BIGINT rejected, CASE WHEN p.page_id % 3 = 0 THEN 'r' || p.page_id % 2 ELSE '' END reason,
+ (p.page_id % 13)::BIGINT errors_seen, least(p.page_id % 13, 10)::INT shown, CASE WHEN p.page_id % 13 > 0 THEN '0 ' || repeat('x', 198) ELSE '' END first_error
+FROM pages p LEFT JOIN n ON n.page_id = p.page_id LEFT JOIN n m ON m.page_id = p.page_id + 1 LEFT JOIN c ON c.page_id = p.page_id LEFT JOIN s ON s.page_id = p.page_id""")
+def discovery_statistics(t: Tables) -> DataFrame:
+    """All counts of a discovery run, with pages scanned, search pages and messages."""
+    roots, links, searched, terms = _single_pages(t)
+    k = F.col("source_id")
+    site = lk.same_site_links(links, roots).join(roots.select("source_id", "root_url"), "source_id").where("url <> root_url")
+    documents = roots.select("source_id", F.when(k % 3 == 0, F.concat(F.lit("r"), k % 2)).otherwise("").alias("reject_reason"), (k % 3 == 1).alias("cleaned"))
+    errors = roots.select("source_id", F.explode(F.sequence(F.lit(1), k % 13)).alias("place")).where((k % 13 > 0)).withColumn(
+        "message", F.concat((F.col("place") - 1).cast("string"), F.lit(" "), F.repeat(F.lit("x"), 300)))
+    out = lk.discovery_stats(links.select("source_id").unionByName(searched.select("source_id")), site, lk.discover_candidates(roots, links, terms, None, searched), documents,
+                             documents.where("reject_reason = ''"), roots, searched.select("source_id").distinct(), errors)
+    return out.withColumn("reason", F.coalesce(F.array_join(F.map_keys("rejection_reasons"), ","), F.lit(""))).withColumn(
+        "shown", F.coalesce(F.size("errors"), F.lit(0))).withColumn("first_error", F.coalesce(F.get("errors", F.lit(0)), F.lit(""))).drop("rejection_reasons", "errors")
+
+
 @query("relevant_documents", """SELECT document_id FROM tl_articles WHERE
  (source_id % 2 = 0 AND contains(lower(title || ' ' || content_text), 'theerly')) OR contains(lower(title || ' ' || content_text), 'ithi')""")
 def relevant_documents(t: Tables) -> DataFrame:

@@ -123,6 +123,17 @@ def search_term(terms: DataFrame) -> DataFrame:
         "source_id", F.col("t.term").alias("term"))
 
 
+def search_pages(sources: DataFrame, terms: DataFrame) -> DataFrame:
+    """(source_id, search_url) of discovery sources: their own template, else that of their site, with the source's search
+    term. ``terms`` are (source_id, rank, term); terms count in lower case, without blanks around them."""
+    wanted = search_term(terms.withColumn("term", F.lower(tx.strip(F.col("term")))).where(F.length("term") > 0))
+    own = F.coalesce(F.get_json_object("parser_config", "$.discovery_search_url_template"), F.lit(""))
+    host = urls.host(urls.canonical_url(F.col("entry_url")))
+    rows = sources.where(parser_config(F.col("parser_config"))["discovery_enabled"]).select(
+        "source_id", F.when(own != "", own).otherwise(urls.search_template(host)).alias("template")).where(F.col("template") != "")
+    return rows.join(wanted, "source_id").select("source_id", F.replace("template", F.lit("{query}"), urls.percent_encoded(F.col("term"))).alias("search_url"))
+
+
 def relevant_documents(docs: DataFrame, terms: DataFrame, limits: vocab.Limits = vocab.ALL) -> DataFrame:
     """Documents whose title or text holds a term of their source."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), tx.head(F.col("content_text"), limits.relevant))
@@ -130,10 +141,17 @@ def relevant_documents(docs: DataFrame, terms: DataFrame, limits: vocab.Limits =
     return docs.join(hits.select("document_id").distinct(), "document_id", "left_semi")
 
 
-def discovery_stats(links: DataFrame, site: DataFrame, candidates: DataFrame, documents: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Per source: links, same-site links, candidates, fetched, accepted, cleaned and rejected counts.
+#: How many messages a source's statistics hold, and how long they are.
+MESSAGES, MESSAGE = 10, 200
+
+
+def discovery_stats(links: DataFrame, site: DataFrame, candidates: DataFrame, documents: DataFrame, accepted: DataFrame,
+                    pages: DataFrame | None = None, searches: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Per source: pages scanned, search pages, links, same-site links, candidates, fetched, accepted, cleaned and rejected counts.
 
-    ``documents`` carry reject_reason ('' = article) and cleaned.
+    ``links`` are those of scanned and of search pages; ``documents`` carry reject_reason ('' = article) and cleaned;
+    ``pages`` and ``searches`` are the pages that were read, ``errors`` (source_id, place, message) what failed, in order of
+    place. A source of any of these tables has a row, with zeros for what it does not have.
     """
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).select("source_id", F.lit(name).alias("k"), "n")
@@ -141,9 +159,16 @@ def discovery_stats(links: DataFrame, site: DataFrame, candidates: DataFrame, do
     reasons = documents.where(F.col("reject_reason") != "").groupBy("source_id", "reject_reason").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "source_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reject_reason", "n")))).alias("rejection_reasons"))
     rows = counted(links, "links_extracted")
-    for df, name in ((site, "same_site_links"), (candidates, "candidates"), (documents, "articles_fetched"), (accepted, "accepted"),
-                     (accepted.where("cleaned"), "cleaned_accepted"), (documents.where(F.col("reject_reason") != ""), "rejected")):
+    named = [(site, "same_site_links"), (candidates, "candidates"), (documents, "articles_fetched"), (accepted, "accepted"),
+             (accepted.where("cleaned"), "cleaned_accepted"), (documents.where(F.col("reject_reason") != ""), "rejected")]
+    named += [(df, name) for df, name in ((pages, "pages_scanned"), (searches, "search_pages"), (errors, "errors_seen")) if df is not None]
+    for df, name in named:
         rows = rows.unionByName(counted(df, name))
-    names = ["links_extracted", "same_site_links", "candidates", "articles_fetched", "accepted", "cleaned_accepted", "rejected"]
+    names = ["links_extracted", *[name for _, name in named]]
     wide = rows.groupBy("source_id").agg(*[F.coalesce(F.max(F.when(F.col("k") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
-    return wide.join(reasons, "source_id", "left")
+    wide = wide.join(reasons, "source_id", "left")
+    if errors is None:
+        return wide
+    first = errors.withColumn("nr", F.row_number().over(W.partitionBy("source_id").orderBy("place"))).where(F.col("nr") <= MESSAGES)
+    told = first.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("nr", F.substring("message", 1, MESSAGE).alias("m")))).alias("e"))
+    return wide.join(told.select("source_id", F.transform("e", lambda x: x["m"]).alias("errors")), "source_id", "left")

@@ -92,3 +92,16 @@ def test_very_many_names_and_none(spark):
     want = {("1B57-name", 2), ("B57-name", 3), ("57-name", 4), ("7-name", 5), ("FF-name", 18), ("F-name", 19)}
     assert {tuple(r) for r in found} == {w for w in want if int(w[0].split("-")[0], 16) < 7000 and not (len(w[0]) > 6 and w[0][0] == "0")}
     assert pe.find_names(rows, ["document_id"], pe.name_table(names.limit(0))).count() == 0
+
+
+def test_second_analysis_brings_nothing(spark):
+    _, frame, scope = tables(spark)
+    docs = frame.withColumn("collected_at", F.lit("2026-08-03").cast("timestamp"))
+    ids = docs.select("document_id").where("document_id in (0, 6, 7, 8)").unionByName(spark.createDataFrame([(0,), (99,)], "document_id long"))
+    res, told, missing = rp.reanalyse_documents(ids, docs, None, None, scope, now())
+    first = {r.document_id: r.event_count for r in told.collect()}
+    assert first[0] == 2 and set(first) == {0, 6, 7, 8} and [r.document_id for r in missing.collect()] == [99]
+    again, told, _ = rp.reanalyse_documents(ids, docs, res.inserts, res.evidence, scope, now())
+    assert again.inserts.count() == 0 and again.evidence.count() == 0 and not any(r.event_count for r in told.collect())
+    places = [{(r.document_id, r.seg_idx, r.event_id) for r in x.targets.collect()} for x in (res, again)]
+    assert places[0] == places[1]
