@@ -71,7 +71,8 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.dedup(table(spark, folder, "documents"), 400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("changed"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 @query

@@ -124,6 +124,12 @@ def runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
 
 
+def united(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Touching stretches of one key as one, all ascending: where each begins, its lo and its hi."""
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] > hi[:-1] + 1)])[: len(key)])
+    return new, lo[new], hi[np.append(new[1:], len(hi)) - 1] if len(new) else hi
+
+
 def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, lead_stretches: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every byte that lies in a string of ``length`` bytes which also starts anywhere else, in the same text or
     another; overlaps count, and strings are judged on the input.
@@ -170,7 +176,9 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, lea
             lo, hi, at = (x - offsets[row] for x in (first, last, anchor))
             twice = seen > 1
             if twice.any():
-                yield batch_of(MARK, k1[row][twice], k2[row][twice], lo[twice], hi[twice], 0, 0, 0, 0)
+                at_row, from_, to = united(row[twice], lo[twice], hi[twice])
+                own = row[twice][at_row]
+                yield batch_of(MARK, k1[own], k2[own], from_, to, 0, 0, 0, 0)
             one = order[new]
             yield batch_of(STRETCH, k1[row][one], k2[row][one], lo[one], hi[one], at[one], leads[one], whole[one], np.minimum(seen[one], 2))
 
@@ -189,7 +197,11 @@ def dedup(docs: DataFrame, length: int = 400, bucket_bytes: int = 4_000_000, lea
             several = np.repeat(total > 1, np.diff(np.append(begin, len(n))))
             mark = several & (n == 1)
             if mark.any():
-                yield batch_of(MARK, *t[1:5, mark], 0, 0, 0, 0)
+                found = t[1:5, mark]
+                found = found[:, np.lexsort((found[2], found[1], found[0]))]
+                text = np.concatenate([[0], ((found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])).cumsum()])
+                at_text, from_, to = united(text, found[2], found[3])
+                yield batch_of(MARK, found[0, at_text], found[1, at_text], from_, to, 0, 0, 0, 0)
             of_lead = leads[begin]
             fresh = np.concatenate([[True], of_lead[1:] != of_lead[:-1]])
             number = fresh.cumsum() - 1
