@@ -62,7 +62,7 @@ def article_documents(t: Tables) -> DataFrame:
     pages = _pages(t)
     k = F.col("page_id")
     extracted = pages.where(k % 3 == 0).select(
-        "url", F.concat(F.lit("T"), k).alias("title"), F.concat(F.lit(" extracted   body "), k).alias("content"), F.lit("A").alias("author"),
+        "page_id", "url", F.concat(F.lit("T"), k).alias("title"), F.concat(F.lit(" extracted   body "), k).alias("content"), F.lit("A").alias("author"),
         F.when(k % 2 == 0, F.lit("2024-02-03T09:00:00+08:00")).otherwise("").alias("date"))
     return pg.article_documents(extracted, pages).select(
         "canonical_url", "title", "content_text", times.seconds_text(F.col("published_at")).alias("published_at"))
