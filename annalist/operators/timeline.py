@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from annalist import vocab
 from annalist.functions import text as tx
+from annalist.operators.persons import GroupLinks, link_counts
 from annalist.session import cut_lineage
 
 MAX_PAGE = 200
@@ -271,11 +272,11 @@ def parser_config(c: Column) -> Column:
     )
 
 
-def source_list(sources: DataFrame, documents: DataFrame, source_persons: DataFrame) -> DataFrame:
+def source_list(sources: DataFrame, documents: DataFrame, source_persons: DataFrame | GroupLinks) -> DataFrame:
     """Live sources, newest id first, with document count, linked persons and discovery settings. Missing pages and depth
     are shown as a small installation's."""
     counts = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("document_count"))
-    linked = source_persons.groupBy("source_id").agg(F.count(F.lit(1)).alias("person_count"))
+    linked = link_counts(source_persons).withColumnRenamed("n", "person_count")
     return (
         sources.where(F.col("deleted_at").isNull()).withColumn("cfg", parser_config(F.col("parser_config")))
         .join(counts, "source_id", "left").join(linked, "source_id", "left")
