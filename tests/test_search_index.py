@@ -68,3 +68,14 @@ def test_many_candidates_are_joined(spark, tables, monkeypatch):
 def test_no_index_yet(spark, tables, tmp_path):
     _, *rest = tables
     assert si.candidates(spark, str(tmp_path), "documents", "abc").count() == 0
+
+
+def test_postings_are_lists_and_rows_of_one_id_count_once(spark, tables, tmp_path):
+    _, _, _, docs, _ = tables
+    root = str(tmp_path)
+    twice = docs.where("document_id < 3").select("document_id", F.lit("abcd").alias("title"), F.explode(F.array(F.lit("abc"), F.lit("xyz"))).alias("content_text"))
+    si.index_batch(twice.coalesce(1), "document_id", si.DOCUMENT_TEXTS, root, "documents", 0)
+    stored = spark.read.parquet(f"{root}/documents_postings").where("gram = 'abc'")
+    assert sorted(i for r in stored.collect() for i in r["ids"]) == [0, 1, 2] and stored.count() < 3
+    assert [(g, n) for g, _, n in si.rarest(spark, root, "documents", "ABCD")] == [("abc", 3), ("bcd", 3)]
+    assert sorted(r["id"] for r in si.candidates(spark, root, "documents", "xyz").collect()) == [0, 1, 2]
