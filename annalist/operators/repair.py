@@ -186,18 +186,28 @@ def reanalyse_documents(ids: DataFrame, documents: DataFrame, events: DataFrame
 
 # ---- times -----------------------------------------------------------------------------------------
 
+def _document_times(documents: DataFrame) -> DataFrame:
+    return documents.select("document_id", "published_at", F.coalesce("published_at", "collected_at").alias("seen_at"))
+
+
+def _earliest() -> Column:
+    """Of the documents of a group, the one of the earliest publish (else collection) time, then id; none if all lack both."""
+    return F.min(F.when(F.col("seen_at").isNotNull(), F.struct("seen_at", "document_id", "published_at")))
+
+
 def _first_document(evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per event, the earliest evidence document by publish (else collection) time, then id."""
-    seen = F.coalesce("published_at", "collected_at")
-    return evidence.select("event_id", "document_id").join(
-        documents.select("document_id", "published_at", seen.alias("seen_at")), "document_id").where(
-        F.col("seen_at").isNotNull()).groupBy("event_id").agg(
-        F.min(F.struct("seen_at", "document_id", "published_at")).alias("d")).select(
+    """Per event, the earliest evidence document."""
+    return evidence.select("event_id", "document_id").join(_document_times(documents), "document_id").groupBy("event_id").agg(
+        _earliest().alias("d")).where("d IS NOT NULL").select(
         "event_id", F.col("d.seen_at").alias("seen_at"), F.col("d.published_at").alias("published_at"))
 
 
-def _first_text(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("event_id").agg(F.min_by("evidence_text", "evidence_id").alias("first_text"))
+def _first_told(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """(event_id, seen_at, published_at, first_text): the earliest document and the first text of an event, from one pass over the
+    evidence."""
+    told = evidence.select("event_id", "document_id", "evidence_id", "evidence_text").join(_document_times(documents), "document_id", "left")
+    return told.groupBy("event_id").agg(_earliest().alias("d"), F.min_by("evidence_text", "evidence_id").alias("first_text")).select(
+        "event_id", F.col("d.seen_at").alias("seen_at"), F.col("d.published_at").alias("published_at"), "first_text")
 
 
 def backfill_other_time(events: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
@@ -223,26 +233,38 @@ def approve_pending(events: DataFrame) -> DataFrame:
         F.col("review_status").isin("pending", "needs_review"), "approved").otherwise(F.col("review_status")))
 
 
-def _retimed(events: DataFrame, times: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(changed rows, losers, locked rows) for new times (event_id, new_start) of unlocked events."""
-    rows = events.where(~F.col("human_locked")).join(times.where(F.col("new_start").isNotNull()), "event_id").join(
-        _first_text(evidence), "event_id", "left")
+def _retimed(events: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed rows, losers, a row of counts) for new times and first texts (event_id, new_start, first_text) of unlocked events.
+
+    Every event is a row of one table: with the key it would get where it is proposed, else with the one it holds. What a key's
+    rows decide (see ``resolve_collisions``) and all counts come from one pass over that table.
+    """
+    rows = events.select("event_id", "person_id", "event_type", "title", "start_at", "dedup_key", "human_locked").join(told, "event_id", "left")
     text = F.when(F.coalesce("first_text", F.lit("")) != "", F.col("first_text")).otherwise(F.coalesce("title", F.lit("")))
-    rows = rows.withColumn("new_key", sm.dedup_key(F.col("person_id"), F.col("event_type"), F.col("new_start"), text))
-    proposed = rows.where((F.col("dedup_key") != F.col("new_key")) | ~F.col("start_at").eqNullSafe(F.col("new_start"))).select(
-        "event_id", "new_key", "new_start")
-    survivors, losers = resolve_collisions(proposed, events)
+    own = sm.dedup_key(F.col("person_id"), F.col("event_type"), F.col("new_start"), text)
+    rows = rows.withColumn("own", F.when(~F.col("human_locked") & F.col("new_start").isNotNull(), own))
+    moves = (F.col("dedup_key") != F.col("own")) | ~F.col("start_at").eqNullSafe(F.col("new_start"))
+    rows = rows.withColumn("proposed", F.coalesce(F.col("own").isNotNull() & moves, F.lit(False)))
+    placed = rows.select("event_id", "new_start", "proposed", F.when(F.col("proposed"), F.col("own")).otherwise(F.col("dedup_key")).alias("new_key"))
+    mover = F.when(F.col("proposed"), F.col("event_id"))
+    keys = placed.groupBy("new_key").agg(F.min(mover).alias("event_id"), F.min_by("new_start", mover).alias("new_start"), F.count_if("proposed").alias("n"),
+                                         F.count_if(~F.col("proposed")).alias("outside")).where("n > 0")
+    survivors = keys.where("outside = 0").select("event_id", "new_key", "new_start")
+    losers = without(placed.where("proposed"), survivors, "event_id").select("event_id", "new_key")
+    free = F.col("outside") == 0
+    counts = keys.agg(F.count_if(free).alias("repaired"), F.coalesce(F.sum(F.col("n") - free.cast("int")), F.lit(0)).alias("deleted_duplicates"))
+    counts = counts.crossJoin(events.agg(F.count_if("human_locked").alias("skipped_locked")))
     changed = events.join(survivors, "event_id").withColumn("start_at", F.col("new_start")).withColumn(
         "dedup_key", F.col("new_key")).withColumn("time_precision", F.lit("day")).withColumn(
         "original_timezone", F.lit(vocab.LOCAL_ZONE)).select(*events.columns)
-    return changed, losers, events.where("human_locked")
+    return changed, losers, counts
 
 
 def retime_events(events: DataFrame, evidence: DataFrame, documents: DataFrame) -> Repair:
     """Set the time of unlocked events to that of their first document, and their key with it."""
-    times = _first_document(evidence, documents).select("event_id", F.date_trunc("second", "seen_at").alias("new_start"))
-    changed, losers, locked = _retimed(events, times, evidence)
-    return Repair(_one_row(repaired=changed, deleted_duplicates=losers, skipped_locked=locked),
+    told = _first_told(evidence, documents).select("event_id", F.date_trunc("second", "seen_at").alias("new_start"), "first_text")
+    changed, losers, counts = _retimed(events, told)
+    return Repair(counts.select("repaired", "deleted_duplicates", "skipped_locked"),
                   losers.orderBy("event_id").limit(SAMPLE), {"changed": changed, "events": losers.select("event_id")})
 
 
@@ -263,9 +285,9 @@ def repair_published_at(documents: DataFrame, events: DataFrame, evidence: DataF
     fixed = documents.join(resets, "document_id").withColumn("published_at", F.col("new_published")).select(*documents.columns)
     after = replaced(documents, fixed, "document_id")
     touched = evidence.join(resets, "document_id", "left_semi").select("event_id").distinct()
-    times = cut_lineage(_first_document(evidence.join(touched, "event_id", "left_semi"), after).select(
-        "event_id", F.date_trunc("second", "published_at").alias("new_start")))
-    changed, losers, locked = _retimed(events, times, evidence)
-    return Repair(_one_row(repaired_documents=fixed, repaired_events=changed, deleted_duplicates=losers, skipped_locked=locked),
+    told = cut_lineage(_first_told(evidence.join(touched, "event_id", "left_semi"), after).select(
+        "event_id", F.date_trunc("second", "published_at").alias("new_start"), "first_text"))
+    changed, losers, counts = _retimed(events, told)
+    return Repair(_one_row(repaired_documents=fixed).crossJoin(counts.withColumnRenamed("repaired", "repaired_events")),
                   fixed.select("document_id", "canonical_url", "published_at").orderBy("document_id").limit(SAMPLE),
                   {"documents": fixed, "changed": changed, "events": losers.select("event_id")})
