@@ -10,6 +10,7 @@ from annalist.functions import text as tx
 from annalist.operators import documents as dc
 from annalist.plans.catalogue import query
 from annalist.plans.standins import Tables
+from annalist.session import cut_lineage
 from annalist.sources import feeds as fd
 from annalist.sources import links as lk
 from annalist.sources import pages as pg
@@ -129,11 +130,12 @@ def _single_pages(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     """Roots that are read alone, their links, search result pages that hold the links of the next page, and terms."""
     src = t.raw("pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("entry_url"),
                                 F.lit('{"discovery_enabled":true,"discovery_max_depth":0}').alias("parser_config"))
-    links = _links(t).withColumn("page_url", urls.canonical_url(F.col("page_url")))
+    # many steps read the links and the roots, and taking them out of the pages costs most, so they are stored once
+    links = cut_lineage(_links(t).withColumn("page_url", urls.canonical_url(F.col("page_url"))))
     own = t.raw("pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("page_url"))
-    searched = _links(t).drop("page_url").withColumn("source_id", F.col("source_id") - 1).join(own, "source_id")
+    searched = links.drop("page_url").withColumn("source_id", F.col("source_id") - 1).join(own, "source_id")
     terms = own.select("source_id", F.explode(F.array(F.lit("The"), F.lit("ing"))).alias("term"))
-    return lk.discovery_roots(src), links, searched, terms
+    return cut_lineage(lk.discovery_roots(src)), links, searched, terms
 
 
 @query("search_candidates", f"""WITH {_WALK} SELECT page_id source_id, u url, row_number() OVER (PARTITION BY page_id ORDER BY part, i)::INT AS rank FROM found""")
