@@ -168,7 +168,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     Returns doc_id, class_id (the smallest doc_id of its class, its own for a class of one), n_links.
     """
     sketches, sets = _classed(docs, n, threshold, recall, block_grams, id_col, text_col)
-    return sketches.select("doc_id", "set_key").join(sets.select("set_key", "class_id", "n_links"), "set_key", "left").select(
+    return sketches.select("doc_id", "set_key").join(sets.select("set_key", "class_id", "n_links").hint("merge"), "set_key", "left").select(
         "doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
@@ -202,12 +202,13 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
         .select("set_key", F.col("at.doc_id").alias("least"), F.col("at.text_key").alias("text_key"), "copies", "grams", "bands")
         .withColumn("set", F.monotonically_increasing_id()), "sets")
 
-    # Star of each bucket around its least set.
+    # Star of each bucket around its least set. Spark takes an exploded array for one element, and so would send tables of
+    # millions of buckets through the driver; this and all joins whose sides grow with the input are by a shuffle.
     buckets = sets.select("set", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("set").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = buckets.join(shared, "bucket").where("set <> b").select(F.col("set").alias("a"), "b")
+    stars = buckets.join(shared.hint("merge"), "bucket").where("set <> b").select(F.col("set").alias("a"), "b")
     clusters = components(stars).select(F.col("node").alias("set"), F.col("root").alias("cluster"))
-    members = store(sets.select("set", "set_key", "least", "text_key", "copies", "grams").join(clusters, "set"), "members")
+    members = store(sets.select("set", "set_key", "least", "text_key", "copies", "grams").join(clusters.hint("merge"), "set"), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("grams") / block_grams).cast("long").alias("blocks"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
                 yield whole.filter(pa.array([bool(s) for s in same], pa.bool_()))
 
     # Always by a shuffle of the texts: a join whose way depends on the number of members costs another way at each size.
-    held = fetched(named, members.hint("merge")).mapInArrow(freed(rebuilt), "cluster long, set long, copies long, held binary").join(blocks, "cluster")
+    held = fetched(named, members.hint("merge")).mapInArrow(freed(rebuilt), "cluster long, set long, copies long, held binary").join(blocks.hint("merge"), "cluster")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks"))
     dealt = held.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "cluster", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "_mine", "set", "copies", "held")
@@ -249,11 +250,11 @@ def _classed(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     discard(members)
     links = checked.groupBy("set").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("set").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set")
-    classed = sets.select("set", "set_key", "least", "copies").join(links, "set", "left").join(roots, "set", "left")
-    ids = classed.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
-    named_sets = classed.join(ids, "root", "left").select(
-        "set_key", F.coalesce("root", "set").alias("group"),
-        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("class_id"),
+    classed = sets.select("set", "set_key", "least", "copies").join(links.hint("merge"), "set", "left").join(roots.hint("merge"), "set", "left")
+    # A set without a link is a group of its own, so that these many sets are no hot key.
+    ids = classed.where("root IS NOT NULL").groupBy(F.col("root").alias("group")).agg(F.min("least").alias("of_root"))
+    named_sets = classed.withColumn("group", F.coalesce("root", "set")).join(ids.hint("merge"), "group", "left").select(
+        "set_key", "group", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return sketches, named_sets
 
@@ -267,7 +268,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     sketches, sets = _classed(docs, id_col=id_col, text_col=text_col, **options)  # type: ignore[arg-type]
     noid = F.col("doc_id").isNull().alias("noid")
     first = F.min(F.struct("doc_id", "set_key", "text_key")).alias("first")
-    chosen = sketches.join(sets.select("set_key", "group"), "set_key").groupBy("group", noid).agg(first).select("first.doc_id", "first.text_key")
+    chosen = sketches.join(sets.select("set_key", "group").hint("merge"), "set_key").groupBy("group", noid).agg(first).select("first.doc_id", "first.text_key")
     stays = chosen.unionByName(sketches.where("set_key IS NULL").select("doc_id", "text_key").distinct()).select(
         noid.alias("_noid"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("text_key").alias("_key"))
     columns = docs.columns
@@ -276,4 +277,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     # Equal rows are combined before the shuffle, so many copies without an id are no hot key.
     one = plain.groupBy(key.isNull().alias("_noid"), F.coalesce(key, F.lit(0).cast("long")).alias("_id"), text_key(text).alias("_key")).agg(
         F.first(F.struct(*plain.columns)).alias("_row"))
-    return one.join(stays, ["_noid", "_id", "_key"], "left_semi").select("_row.*").toDF(*columns)
+    return one.join(stays.hint("merge"), ["_noid", "_id", "_key"], "left_semi").select("_row.*").toDF(*columns)
