@@ -86,19 +86,26 @@ def recheck_attribution(evidence: DataFrame, events: DataFrame, documents: DataF
                         scope: Scope, person_id: int | None = None, source_id: int | None = None,
                         lexicon: vocab.Lexicon = LEXICON, limits: vocab.Limits = vocab.ALL) -> Repair:
     """Stored evidence that no longer proves its event. The event's person is always in scope."""
-    docs = documents.select("document_id", "source_id", F.col("title").alias("document_title"), "content_text")
-    rows = (
-        evidence.select("evidence_id", "event_id", "document_id", "evidence_text")
-        .join(events.select("event_id", "person_id", "event_type", "human_locked"), "event_id").join(docs, "document_id")
-        .join(persons.select("person_id", F.col("name").alias("person_name")), "person_id")
-        .join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
-    )
-    if person_id is not None:
-        rows = rows.where(F.col("person_id") == person_id)
-    if source_id is not None:
-        rows = rows.where(F.col("source_id") == source_id)
+    docs = documents.select("document_id", "source_id", F.col("title").alias("document_title"))
+    named_persons = persons.select("person_id", F.col("name").alias("person_name"))
+    named_sources = sources.select("source_id", F.col("name").alias("source_name"))
+    told = evidence.select("evidence_id", "event_id", "document_id", "evidence_text").join(
+        events.select("event_id", "person_id", "event_type", "human_locked"), "event_id")
+
+    def scanned(some: DataFrame, of: DataFrame) -> DataFrame:
+        rows = some.join(of, "document_id").join(named_persons, "person_id").join(named_sources, "source_id")
+        if person_id is not None:
+            rows = rows.where(F.col("person_id") == person_id)
+        return rows if source_id is None else rows.where(F.col("source_id") == source_id)
+
+    rows = scanned(told, docs)
     free = rows.where(~F.col("human_locked"))
-    judged = cut_lineage(at.judge_evidence(free, ["evidence_id"], scope, lexicon, force_target=True))
+    # the whole text goes only with the evidence that must be found in it, not with every row
+    placed = at.needs_place(F.col("evidence_text"), F.col("event_type"), lexicon)
+    unlocked = told.where(~F.col("human_locked"))
+    given = scanned(unlocked.where(~placed), docs).withColumn("content_text", F.lit(None).cast("string"))
+    given = given.unionByName(scanned(unlocked.where(placed), documents.select("document_id", "source_id", F.col("title").alias("document_title"), "content_text")))
+    judged = cut_lineage(at.judge_evidence(given, ["evidence_id"], scope, lexicon, force_target=True))
     invalid = free.join(judged.where(~F.col("valid")).select("evidence_id", "reason"), "evidence_id").select(
         "evidence_id", "event_id", "document_id", "person_name", "source_name", "document_title", "reason",
         tx.head(F.col("evidence_text"), limits.report).alias("evidence_text"))
